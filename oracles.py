@@ -559,7 +559,7 @@ SELECT order_id, customer_id, order_date, CAST(NULL AS DATE) AS shipped_date, st
         "g8_adapt_order_items": f"""
 SELECT order_id * 8 + line_no AS order_item_id, order_id, product_id, qty AS quantity,
        {rounded("gross_c", "100 * qty", 2)} AS unit_price, CAST(pct AS DOUBLE) AS discount_pct,
-       {as_money("gross_c")} AS gross, CAST(net_u AS DOUBLE) / 10000 AS net
+       gross_c * 10000 AS gross_micros, net_u * 100 AS net_micros
 FROM sale_line""",
         "q_pk": _union(_key_check(*key) for key in _KEYS),
         "q_uniq": _union(_key_check(*key, nulls=False) for key in _UNIQUE),

@@ -27,17 +27,58 @@ def delivered(status: ColumnOrName = "status") -> Column:
     return _col(status) == "Delivered"
 
 
-def gross_amount(quantity: ColumnOrName, unit_price: ColumnOrName) -> Column:
-    """quantity x unit price, kept within 18 digits so that rows stay fixed-width."""
-    return (_col(quantity).cast("decimal(10,0)") * _col(unit_price)).cast("decimal(18,2)")
+# Line amounts are bigint millionths of the currency unit ("micros"): a price in
+# cents times a discount in hundredths of a percent is a whole number of them.
+MICROS = 1_000_000
+_MICROS_PER_CENT = 10_000
 
 
-def net_amount(gross: ColumnOrName, discount_pct: ColumnOrName) -> Column:
-    """Gross less the line's percentage discount, exact to six decimals."""
-    kept = F.lit(1).cast("decimal(3,0)") - (
-        _col(discount_pct).cast("decimal(5,2)") * F.lit("0.01").cast("decimal(3,2)")
-    )
-    return _col(gross) * kept.cast("decimal(7,4)")
+def gross_micros(quantity: ColumnOrName, unit_price: ColumnOrName) -> Column:
+    """quantity x unit price."""
+    cents = _col(unit_price).cast("decimal(16,2)") * F.lit(100)
+    return _col(quantity).cast("bigint") * cents.cast("bigint") * _MICROS_PER_CENT
+
+
+def net_micros(gross: ColumnOrName, discount_pct: ColumnOrName) -> Column:
+    """Gross less the line's own percentage discount."""
+    basis_points = (_col(discount_pct).cast("decimal(7,2)") * F.lit(100)).cast("bigint")
+    return F.call_function("div", _col(gross), F.lit(_MICROS_PER_CENT)) * (10_000 - basis_points)
+
+
+# A bigint sum of micros would end at 9.2 * 10**12 units of currency, too little
+# for large tables, and a DECIMAL sum is slower and wider in every shuffle. So a
+# sum is carried as two bigints, of the high and of the low parts of the lines.
+# Both stay far from overflow, and only reports put them together.
+_LOW_BITS = 20
+
+
+def line_sums(*names: str) -> list[Column]:
+    """Aggregates over lines: two partial sums for each amount ``<name>_micros``."""
+    sums = []
+    for name in names:
+        micros = F.col(f"{name}_micros")
+        sums.append(F.sum(F.shiftright(micros, _LOW_BITS)).alias(f"{name}_high"))
+        sums.append(F.sum(micros.bitwiseAND(2**_LOW_BITS - 1)).alias(f"{name}_low"))
+    return sums
+
+
+def carried_sums(*names: str) -> list[Column]:
+    """Aggregates over rows that hold partial sums already."""
+    parts = [f"{name}_{part}" for name in names for part in ("high", "low")]
+    return [F.sum(part).alias(part) for part in parts]
+
+
+def amount(name: str) -> Column:
+    """The exact DECIMAL value of a pair of partial sums."""
+    high = F.col(f"{name}_high").cast("decimal(19,0)") * F.lit(2**_LOW_BITS)
+    micros = high + F.col(f"{name}_low").cast("decimal(19,0)")
+    return (micros * F.lit("0.000001").cast("decimal(6,6)")).cast("decimal(30,6)")
+
+
+def line_amount(micros: ColumnOrName) -> Column:
+    """A single line's amount as DECIMAL, rounded to cents."""
+    exact = _col(micros).cast("decimal(19,0)") * F.lit("0.000001").cast("decimal(6,6)")
+    return money(exact)
 
 
 def money(amount: ColumnOrName) -> Column:

@@ -2,43 +2,84 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.functions.measures import gross_amount, net_amount
+from tillscope.functions.measures import gross_micros, net_micros
+
+Table = DataFrame | Callable[[], DataFrame]
 
 
-@dataclass(frozen=True)
 class RetailModel:
     """Six DataFrames: regions, categories, customers, products, orders, order_items.
 
-    ``order_items`` may carry its own exact ``gross`` and ``net`` columns, for
-    sources that store line amounts instead of unit prices.
+    A table may be given as a function; it is then built on first use, so an
+    analysis only plans the tables it reads. ``order_items`` may carry exact
+    ``gross_micros`` and ``net_micros`` of its own, for sources that store line
+    amounts instead of unit prices.
     """
 
-    regions: DataFrame
-    categories: DataFrame
-    customers: DataFrame
-    products: DataFrame
-    orders: DataFrame
-    order_items: DataFrame
+    def __init__(
+        self,
+        regions: Table,
+        categories: Table,
+        customers: Table,
+        products: Table,
+        orders: Table,
+        order_items: Table,
+    ) -> None:
+        self._tables = {
+            "regions": regions,
+            "categories": categories,
+            "customers": customers,
+            "products": products,
+            "orders": orders,
+            "order_items": order_items,
+        }
 
     def table(self, name: str) -> DataFrame:
-        return getattr(self, name)
+        table = self._tables[name]
+        if not isinstance(table, DataFrame):
+            table = self._tables[name] = table()
+        return table
+
+    def with_tables(self, **tables: Table) -> "RetailModel":
+        return RetailModel(**{**self._tables, **tables})
+
+    @property
+    def regions(self) -> DataFrame:
+        return self.table("regions")
 
-    def with_tables(self, **tables: DataFrame) -> "RetailModel":
-        return replace(self, **tables)
+    @property
+    def categories(self) -> DataFrame:
+        return self.table("categories")
+
+    @property
+    def customers(self) -> DataFrame:
+        return self.table("customers")
+
+    @property
+    def products(self) -> DataFrame:
+        return self.table("products")
+
+    @property
+    def orders(self) -> DataFrame:
+        return self.table("orders")
+
+    @property
+    def order_items(self) -> DataFrame:
+        return self.table("order_items")
 
     @property
     def lines(self) -> DataFrame:
-        """Order items with line amounts: ``gross`` and ``net`` of the line discount."""
+        """Order items with line amounts: gross, and net of the line discount."""
         items = self.order_items
-        if "gross" not in items.columns:
-            items = items.withColumn("gross", gross_amount("quantity", "unit_price"))
-        if "net" not in items.columns:
-            items = items.withColumn("net", net_amount("gross", "discount_pct"))
+        if "gross_micros" not in items.columns:
+            items = items.withColumn("gross_micros", gross_micros("quantity", "unit_price"))
+        if "net_micros" not in items.columns:
+            items = items.withColumn("net_micros", net_micros("gross_micros", "discount_pct"))
         return items
 
     @property
@@ -50,13 +91,10 @@ class RetailModel:
 
     @property
     def rooted_categories(self) -> DataFrame:
-        """category_id -> category_name, root_name: the parent's name, or its own."""
+        """category_id -> root_name: the parent's name, or the category's own."""
         parents = self.categories.select(
             F.col("category_id").alias("parent_id"), F.col("category_name").alias("parent_name")
         )
         return self.categories.join(parents, "parent_id", "left").select(
-            "category_id",
-            "category_name",
-            "is_active",
-            F.coalesce("parent_name", "category_name").alias("root_name"),
+            "category_id", F.coalesce("parent_name", "category_name").alias("root_name")
         )

@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillscope.functions.measures import (
+    amount,
+    carried_sums,
     delivered,
     money,
     month_number,
@@ -66,7 +68,7 @@ def customer_history(model: RetailModel) -> DataFrame:
         .join(order_totals(model), "order_id", "left")
         .groupBy("customer_id")
         .agg(
-            F.sum("net").alias("net"),
+            *carried_sums("net"),
             F.sum("lines").alias("lines"),
             F.count("*").alias("orders"),
             F.count("lines").alias("sold_orders"),
@@ -74,6 +76,7 @@ def customer_history(model: RetailModel) -> DataFrame:
             F.max("order_date").alias("last_date"),
         )
         .filter(F.col("lines") > 0)
+        .withColumn("net", amount("net"))
     )
 
 

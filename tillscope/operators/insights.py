@@ -9,7 +9,15 @@ from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillscope.functions.measures import growth_pct, money, ratio, share_pct, valid_sale
+from tillscope.functions.measures import (
+    amount,
+    carried_sums,
+    growth_pct,
+    money,
+    ratio,
+    share_pct,
+    valid_sale,
+)
 from tillscope.model import RetailModel
 from tillscope.operators.customers import customer_history, spend_quartiles, with_value_estimate
 from tillscope.operators.trends import d2_month_over_month, rounded_months
@@ -65,7 +73,7 @@ def i3_segment_profile(model: RetailModel) -> DataFrame:
     by orders that have lines.
     """
     history = with_value_estimate(customer_history(model)).select(
-        "customer_id", "net", "sold_orders", "clv_3yr_estimate"
+        "customer_id", "net_high", "net_low", "sold_orders", "clv_3yr_estimate"
     )
     return (
         model.customers.select("customer_id", "segment")
@@ -73,11 +81,12 @@ def i3_segment_profile(model: RetailModel) -> DataFrame:
         .groupBy("segment")
         .agg(
             F.count("*").alias("customers"),
-            F.sum("net").alias("net"),
+            *carried_sums("net"),
             F.sum("sold_orders").alias("orders"),
             F.sum("clv_3yr_estimate").alias("clv"),
             F.count("clv_3yr_estimate").alias("estimates"),
         )
+        .withColumn("net", amount("net"))
         .select(
             "segment",
             "customers",
@@ -144,7 +153,8 @@ def i7_leaf_underperformers(model: RetailModel) -> DataFrame:
         product_sales(model)
         .join(model.products.select("product_id", "category_id"), "product_id")
         .groupBy("category_id")
-        .agg(F.sum("net").alias("net"))
+        .agg(*carried_sums("net"))
+        .withColumn("net", amount("net"))
     )
     scored = leaves.join(revenue, "category_id", "left").select(
         "category_id",
@@ -181,12 +191,10 @@ def i8_segment_uplift(
     segments = (
         model.customers.filter(F.col("segment").isin(source, target))
         .select("customer_id", "segment")
-        .join(customer_sales(model, valid_sale()).select("customer_id", "net"), "customer_id", "left")
+        .join(customer_sales(model, valid_sale()), "customer_id", "left")
         .groupBy("segment")
-        .agg(
-            F.count("*").alias("customers"),
-            ratio(F.sum("net"), F.count("*")).alias("per_customer"),
-        )
+        .agg(F.count("*").alias("customers"), *carried_sums("net"))
+        .select("segment", "customers", ratio(amount("net"), "customers").alias("per_customer"))
     )
 
     def of(segment: str, column: str):

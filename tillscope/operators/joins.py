@@ -7,7 +7,14 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.functions.measures import money, ratio, valid_sale
+from tillscope.functions.measures import (
+    amount,
+    carried_sums,
+    line_amount,
+    money,
+    ratio,
+    valid_sale,
+)
 from tillscope.model import RetailModel
 from tillscope.plans.frames import customer_sales, kept_orders
 
@@ -53,8 +60,8 @@ def a1_order_details(model: RetailModel, ordered: bool = False) -> DataFrame:
         "quantity",
         "unit_price",
         "discount_pct",
-        money("gross").alias("gross_revenue"),
-        money("net").alias("net_revenue"),
+        line_amount("gross_micros").alias("gross_revenue"),
+        line_amount("net_micros").alias("net_revenue"),
     )
 
 
@@ -102,8 +109,9 @@ def segment_totals(model: RetailModel, status: Column | None) -> DataFrame:
             F.count("*").alias("customers"),
             F.sum("orders").alias("orders"),
             F.sum("lines").alias("lines"),
-            F.sum("net").alias("net"),
+            *carried_sums("net"),
         )
+        .withColumn("net", amount("net"))
     )
 
 

@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillscope.functions.measures import money, ratio, share_pct, valid_sale
+from tillscope.functions.measures import (
+    amount,
+    carried_sums,
+    line_sums,
+    money,
+    ratio,
+    share_pct,
+    valid_sale,
+)
 from tillscope.functions.ordering import with_rank
 from tillscope.model import RetailModel
 from tillscope.plans.frames import sold_lines
@@ -22,10 +30,11 @@ def d1_top_products_by_region(model: RetailModel, k: int = 3) -> DataFrame:
         model.customers.select("customer_id", "region_id"), "customer_id"
     )
     sales = (
-        model.lines.select("order_id", "product_id", "net")
+        model.lines.select("order_id", "product_id", "net_micros")
         .join(placed.select("order_id", "region_id"), "order_id")
         .groupBy("region_id", "product_id")
-        .agg(money(F.sum("net")).alias("net_revenue"))
+        .agg(*line_sums("net"))
+        .select("region_id", "product_id", money(amount("net")).alias("net_revenue"))
     )
     by_revenue = W.partitionBy("region_id").orderBy(F.desc("net_revenue"))
     best = sales.withColumn("region_rank", F.dense_rank().over(by_revenue)).filter(
@@ -48,7 +57,7 @@ def product_margins(model: RetailModel, valid_only: bool = False) -> DataFrame:
     """
     lines = sold_lines(model, valid_sale()) if valid_only else model.lines
     sold = lines.groupBy("product_id").agg(
-        F.sum("quantity").alias("units_sold"), F.sum("gross").alias("gross")
+        F.sum("quantity").alias("units_sold"), *line_sums("gross")
     )
     cost = F.col("unit_cost") * F.col("units_sold").cast("decimal(18,0)")
     return model.products.join(sold, "product_id", "left").select(
@@ -59,7 +68,7 @@ def product_margins(model: RetailModel, valid_only: bool = False) -> DataFrame:
         "unit_price",
         share_pct(F.col("unit_price") - F.col("unit_cost"), "unit_price").alias("margin_pct"),
         "units_sold",
-        money(F.col("gross") - cost).alias("gross_profit"),
+        money(amount("gross") - cost).alias("gross_profit"),
     )
 
 
@@ -106,9 +115,10 @@ def f3_underperforming_categories(model: RetailModel, overall_avg: bool = False)
         sold_lines(model, valid_sale())
         .join(roots.select("product_id", "root_name"), "product_id")
         .groupBy("order_id", "root_name")
-        .agg(F.sum("net").alias("net"))
+        .agg(*line_sums("net"))
         .groupBy("root_name")
-        .agg(money(F.sum("net")).alias("net_revenue"), F.count("*").alias("order_count"))
+        .agg(*carried_sums("net"), F.count("*").alias("order_count"))
+        .select("root_name", "order_count", money(amount("net")).alias("net_revenue"))
     )
     everything = W.partitionBy()  # a few rows: one per root category
     sums = {"total": F.sum("net_revenue").over(everything), "roots": F.count("*").over(everything)}

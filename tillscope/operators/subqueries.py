@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillscope.functions.measures import money, ratio, share_pct, valid_sale
+from tillscope.functions.measures import (
+    amount,
+    carried_sums,
+    money,
+    ratio,
+    share_pct,
+    valid_sale,
+)
 from tillscope.model import RetailModel
 from tillscope.plans.frames import customer_sales, product_sales, sold_lines
 
@@ -19,9 +26,13 @@ def b1_above_average_customers(model: RetailModel, ordered: bool = False) -> Dat
     The comparison uses unrounded amounts. The mean is a scalar subquery over
     the same per-customer exchange, which Spark reuses instead of recomputing.
     """
-    spend = customer_sales(model, valid_sale()).select("customer_id", "net")
+    spend = customer_sales(model, valid_sale())
     # spend > total / buyers, kept exact by multiplying out
-    totals = spend.agg(F.struct(F.sum("net").alias("net"), F.count("*").alias("buyers"))).scalar()
+    totals = (
+        spend.agg(*carried_sums("net"), F.count("*").alias("buyers"))
+        .select(F.struct(amount("net").alias("net"), "buyers"))
+        .scalar()
+    )
     above = spend.filter(
         F.col("net").cast("decimal(25,6)") * totals["buyers"].cast("decimal(13,0)")
         > totals["net"].cast("decimal(38,6)")
@@ -52,7 +63,8 @@ def root_sales(model: RetailModel) -> DataFrame:
         product_sales(model)
         .join(roots, "product_id")
         .groupBy("root_name")
-        .agg(F.sum("units").alias("units"), F.sum("net").alias("net"))
+        .agg(F.sum("units").alias("units"), *carried_sums("net"))
+        .withColumn("net", amount("net"))
     )
 
 

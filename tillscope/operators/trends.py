@@ -7,8 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillscope.functions.measures import (
+    amount,
+    carried_sums,
     delivered,
     growth_pct,
+    line_sums,
     money,
     month_of,
     ratio,
@@ -32,13 +35,14 @@ def c1_monthly_trend(model: RetailModel) -> DataFrame:
     months = (
         order_sales(model, valid_sale())
         .groupBy("sales_month", "customer_id")
-        .agg(F.count("*").alias("orders"), F.sum("net").alias("net"))
+        .agg(F.count("*").alias("orders"), *carried_sums("net"))
         .groupBy("sales_month")
         .agg(
             F.sum("orders").alias("orders"),
             F.count("*").alias("buyers"),
-            F.sum("net").alias("net"),
+            *carried_sums("net"),
         )
+        .withColumn("net", amount("net"))
     )
     so_far = _in_time().rangeBetween(W.unboundedPreceding, W.currentRow)
     return months.select(
@@ -113,7 +117,8 @@ def e2_monthly_gross(model: RetailModel, status: Column | None = None) -> DataFr
     return (
         sold_lines(model, kept, "order_date")
         .groupBy(month_of("order_date").alias("sales_month"))
-        .agg(F.sum("gross").alias("gross_revenue"))
+        .agg(*line_sums("gross"))
+        .select("sales_month", amount("gross").alias("gross_revenue"))
         .orderBy("sales_month")
     )
 

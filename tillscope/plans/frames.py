@@ -12,23 +12,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.functions.measures import month_of, valid_sale
+from tillscope.functions.measures import (
+    amount,
+    carried_sums,
+    line_sums,
+    month_of,
+    valid_sale,
+)
 from tillscope.model import RetailModel
 
-ALL_ORDERS = None
-
-
 def kept_orders(model: RetailModel, status: Column | None) -> DataFrame:
     return model.orders if status is None else model.orders.filter(status)
 
 
 def order_totals(model: RetailModel) -> DataFrame:
-    """One row per order that has lines: lines, units, gross, net."""
+    """One row per order that has lines: lines, units, partial sums of gross and net."""
     return model.lines.groupBy("order_id").agg(
         F.count("*").alias("lines"),
         F.sum("quantity").alias("units"),
-        F.sum("gross").alias("gross"),
-        F.sum("net").alias("net"),
+        *line_sums("gross", "net"),
     )
 
 
@@ -51,9 +53,9 @@ def customer_sales(model: RetailModel, status: Column | None) -> DataFrame:
             F.count("*").alias("orders"),
             F.sum("lines").alias("lines"),
             F.sum("units").alias("units"),
-            F.sum("gross").alias("gross"),
-            F.sum("net").alias("net"),
+            *carried_sums("gross", "net"),
         )
+        .withColumns({"gross": amount("gross"), "net": amount("net")})
     )
 
 
@@ -64,9 +66,9 @@ def month_sales(model: RetailModel, status: Column | None) -> DataFrame:
         .groupBy("sales_month")
         .agg(
             F.count("*").alias("orders"),
-            F.sum("gross").alias("gross"),
-            F.sum("net").alias("net"),
+            *carried_sums("gross", "net"),
         )
+        .withColumns({"gross": amount("gross"), "net": amount("net")})
     )
 
 
@@ -76,7 +78,7 @@ def sold_lines(model: RetailModel, status: Column | None, *order_columns: str) -
     Needed where the product matters, so nothing can be summed beforehand; an
     oversized order is left to the adaptive skew-join split.
     """
-    lines = model.lines.select("order_id", "product_id", "quantity", "gross", "net")
+    lines = model.lines.select("order_id", "product_id", "quantity", "gross_micros", "net_micros")
     orders = kept_orders(model, status).select("order_id", *order_columns)
     return lines.join(orders, "order_id", "inner" if order_columns else "left_semi")
 
@@ -86,7 +88,8 @@ def product_sales(model: RetailModel) -> DataFrame:
     return (
         sold_lines(model, valid_sale())
         .groupBy("product_id")
-        .agg(F.sum("quantity").alias("units"), F.sum("net").alias("net"))
+        .agg(F.sum("quantity").alias("units"), *line_sums("net"))
+        .withColumn("net", amount("net"))
     )
 
 
@@ -96,7 +99,7 @@ def region_month_sales(model: RetailModel) -> DataFrame:
         order_sales(model, valid_sale())
         .join(model.customers.select("customer_id", "region_id"), "customer_id")
         .groupBy("region_id", "sales_month")
-        .agg(F.sum("net").alias("net"))
+        .agg(*carried_sums("net"))
         .join(model.regions.select("region_id", "region_name"), "region_id")
-        .select("region_name", "sales_month", "net")
+        .select("region_name", "sales_month", amount("net").alias("net"))
     )

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.model import RetailModel
 from tillscope.schema import DEFAULTS
 
 
+def _filled(model: RetailModel, table: str) -> DataFrame:
+    frame = model.table(table)
+    kinds = dict(frame.dtypes)
+    return frame.withColumns(
+        {
+            column: F.coalesce(F.col(column), F.lit(value).cast(kinds[column]))
+            for column, value in DEFAULTS[table].items()
+        }
+    )
+
+
 def with_defaults(model: RetailModel) -> RetailModel:
     """Replace NULLs by the declared default of their column."""
-    filled = {}
-    for table, defaults in DEFAULTS.items():
-        frame = model.table(table)
-        kinds = dict(frame.dtypes)
-        filled[table] = frame.withColumns(
-            {
-                column: F.coalesce(F.col(column), F.lit(value).cast(kinds[column]))
-                for column, value in defaults.items()
-            }
-        )
-    return model.with_tables(**filled)
+    return model.with_tables(**{table: partial(_filled, model, table) for table in DEFAULTS})

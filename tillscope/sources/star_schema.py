@@ -2,8 +2,8 @@
 lineitem) as the retail model.
 
 Columns the source lacks are derived from ones it has, by fixed rules, or left
-NULL for the declared defaults to fill. Line amounts are cast to exact decimals
-on entry; the source's price per unit is not exact, its line amount is.
+NULL for the declared defaults to fill. Line amounts become whole numbers on
+entry; the source's price per unit is not exact, its line amount is.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.functions.measures import ratio
+from tillscope.functions.measures import line_amount, ratio
 from tillscope.model import RetailModel
 from tillscope.sources.defaults import with_defaults
 
@@ -37,14 +37,20 @@ _SCANS = {
 _LINES_PER_ORDER_KEY = 8  # line numbers run from 1 to 7
 
 
-def scan(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.schema(_SCANS[table]).parquet(f"{root}/{table}.parquet")
 
 
 def _unknown(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
+def _regions(region: DataFrame) -> DataFrame:
+    return region.select(
+        F.col("r_regionkey").cast("bigint").alias("region_id"),
+        F.col("r_name").alias("region_name"),
+        _unknown("string").alias("country"),
+    )
+
+
 def _categories(part: DataFrame) -> DataFrame:
     """One root per part type, one leaf per type and brand."""
     pairs = part.select("p_type", "p_brand").distinct()
@@ -115,35 +121,42 @@ def _orders(orders: DataFrame) -> DataFrame:
     )
 
 
+def _whole(value: str, per: int) -> Column:
+    """A double with few decimals as a whole number of 1/per units, exactly."""
+    return F.rint(F.col(value) * per).cast("bigint")
+
+
 def _order_items(lineitem: DataFrame) -> DataFrame:
-    gross = F.col("l_extendedprice").cast("decimal(12,2)")
-    discount = F.col("l_discount").cast("decimal(3,2)")
+    cents = _whole("l_extendedprice", 100)
+    basis_points = _whole("l_discount", 10_000)
+    quantity = F.col("l_quantity").cast("bigint")
     return lineitem.select(
         (F.col("l_orderkey") * _LINES_PER_ORDER_KEY + F.col("l_linenumber")).alias("order_item_id"),
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("product_id"),
-        F.col("l_quantity").cast("bigint").alias("quantity"),
-        ratio(gross, F.col("l_quantity").cast("bigint")).alias("unit_price"),
-        (discount * 100).cast("decimal(5,2)").alias("discount_pct"),
-        gross.alias("gross"),
-        (gross * (F.lit(1).cast("decimal(3,2)") - discount)).alias("net"),
+        quantity.alias("quantity"),
+        ratio(line_amount(cents * 10_000), quantity).alias("unit_price"),
+        (basis_points.cast("decimal(7,0)") * F.lit("0.01").cast("decimal(2,2)"))
+        .cast("decimal(5,2)")
+        .alias("discount_pct"),
+        (cents * 10_000).alias("gross_micros"),
+        (cents * (10_000 - basis_points)).alias("net_micros"),
     )
 
 
 def raw_star_schema(spark: SparkSession, root: str) -> RetailModel:
     """The model before defaults: columns unknown to the source are NULL."""
-    part = scan(spark, root, "part")
+
+    def read(table: str) -> DataFrame:
+        return spark.read.schema(_SCANS[table]).parquet(f"{root}/{table}.parquet")
+
     return RetailModel(
-        regions=scan(spark, root, "region").select(
-            F.col("r_regionkey").cast("bigint").alias("region_id"),
-            F.col("r_name").alias("region_name"),
-            _unknown("string").alias("country"),
-        ),
-        categories=_categories(part),
-        customers=_customers(scan(spark, root, "customer"), scan(spark, root, "nation")),
-        products=_products(part),
-        orders=_orders(scan(spark, root, "orders")),
-        order_items=_order_items(scan(spark, root, "lineitem")),
+        regions=lambda: _regions(read("region")),
+        categories=lambda: _categories(read("part")),
+        customers=lambda: _customers(read("customer"), read("nation")),
+        products=lambda: _products(read("part")),
+        orders=lambda: _orders(read("orders")),
+        order_items=lambda: _order_items(read("lineitem")),
     )
 
 
