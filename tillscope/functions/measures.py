@@ -6,6 +6,8 @@ zero, which is what ``round`` does on DECIMAL columns; doubles are never rounded
 
 from __future__ import annotations
 
+from enum import Enum
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,18 +20,25 @@ def _col(value: ColumnOrName) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def valid_sale(status: ColumnOrName = "status") -> Column:
-    """Neither cancelled nor returned; an unknown (NULL) status is not a sale."""
-    return ~_col(status).isin(*VOID_STATUSES)
+class Sales(Enum):
+    """Which orders an analysis counts."""
+
+    ANY = "every order"
+    VALID = "neither cancelled nor returned"
+    DELIVERED = "delivered"
 
 
-def delivered(status: ColumnOrName = "status") -> Column:
-    return _col(status) == "Delivered"
+def counted(sales: Sales, status: ColumnOrName = "status") -> Column:
+    """The status filter for ``sales``; an unknown (NULL) status is no valid sale."""
+    if sales is Sales.VALID:
+        return ~_col(status).isin(*VOID_STATUSES)
+    if sales is Sales.DELIVERED:
+        return _col(status) == "Delivered"
+    return F.lit(True)
 
 
 # Line amounts are bigint millionths of the currency unit ("micros"): a price in
 # cents times a discount in hundredths of a percent is a whole number of them.
-MICROS = 1_000_000
 _MICROS_PER_CENT = 10_000
 
 
@@ -75,10 +84,20 @@ def amount(name: str) -> Column:
     return (micros * F.lit("0.000001").cast("decimal(6,6)")).cast("decimal(30,6)")
 
 
+def rounded_div(numerator: Column, denominator: Column) -> Column:
+    """Integer quotient, rounded half away from zero, for a positive denominator."""
+    half = F.when(numerator < 0, -denominator).otherwise(denominator)
+    return F.call_function("div", numerator * 2 + half, denominator * 2)
+
+
+def from_cents(cents: Column) -> Column:
+    """Whole cents as money."""
+    return (cents.cast("decimal(18,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(18,2)")
+
+
 def line_amount(micros: ColumnOrName) -> Column:
-    """A single line's amount as DECIMAL, rounded to cents."""
-    exact = _col(micros).cast("decimal(19,0)") * F.lit("0.000001").cast("decimal(6,6)")
-    return money(exact)
+    """A single line's amount as money."""
+    return from_cents(rounded_div(_col(micros), F.lit(_MICROS_PER_CENT)))
 
 
 def money(amount: ColumnOrName) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.functions.measures import gross_micros, net_micros
+from tillscope.functions.measures import Sales, counted, gross_micros, net_micros
 
 Table = DataFrame | Callable[[], DataFrame]
 
@@ -72,6 +72,11 @@ class RetailModel:
     def order_items(self) -> DataFrame:
         return self.table("order_items")
 
+    def kept_orders(self, sales: Sales, since: Column | None = None) -> DataFrame:
+        """Orders counted by ``sales``, from the date ``since`` on."""
+        kept = self.orders.filter(counted(sales))
+        return kept if since is None else kept.filter(F.col("order_date") >= since)
+
     @property
     def lines(self) -> DataFrame:
         """Order items with line amounts: gross, and net of the line discount."""

@@ -10,19 +10,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillscope.functions.measures import (
+    Sales,
     amount,
     carried_sums,
-    delivered,
     money,
     month_number,
     month_of,
     ratio,
-    valid_sale,
     yearly_rate,
 )
 from tillscope.functions.ordering import with_ntile
 from tillscope.model import RetailModel
-from tillscope.plans.frames import customer_sales, kept_orders, order_totals
+from tillscope.plans.frames import customer_sales, order_totals
 
 
 @dataclass(frozen=True)
@@ -63,7 +62,7 @@ def customer_history(model: RetailModel) -> DataFrame:
     have only such orders have no spend row and are left out.
     """
     return (
-        kept_orders(model, valid_sale())
+        model.kept_orders(Sales.VALID)
         .select("order_id", "customer_id", "order_date")
         .join(order_totals(model), "order_id", "left")
         .groupBy("customer_id")
@@ -129,7 +128,7 @@ def c3_customer_lifetime_value(
 
 def spend_quartiles(model: RetailModel) -> DataFrame:
     """customer_id, total_spend in cents, spend_quartile 1..4 (4 = highest)."""
-    spend = customer_sales(model, valid_sale()).select(
+    spend = customer_sales(model, Sales.VALID).select(
         "customer_id", money("net").alias("total_spend")
     )
     return with_ntile(spend, 4, [F.asc("total_spend"), F.asc("customer_id")], "spend_quartile")
@@ -164,14 +163,13 @@ def d4_spend_quartiles(model: RetailModel, ordered: bool = False) -> DataFrame:
 
 
 def e1_top_customers_correlated(
-    model: RetailModel, k: int = 10, nulls: str = "last", status: Column | None = None
+    model: RetailModel, k: int = 10, nulls: str = "last", sales: Sales = Sales.DELIVERED
 ) -> DataFrame:
     """Top customers by unrounded delivered gross, non-buyers included as NULL.
 
     ``nulls='first'`` lists the customers without delivered orders on top.
     """
-    kept = delivered() if status is None else status
-    spend = customer_sales(model, kept).select(
+    spend = customer_sales(model, sales).select(
         "customer_id", F.col("gross").alias("total_spend")
     )
     by_spend = F.desc_nulls_last("total_spend") if nulls == "last" else F.desc_nulls_first(
@@ -186,7 +184,7 @@ def e1_top_customers_correlated(
 
 
 def e1_top_customers_preagg(
-    model: RetailModel, k: int = 10, rounded: bool = True, status: Column | None = None
+    model: RetailModel, k: int = 10, rounded: bool = True, sales: Sales = Sales.DELIVERED
 ) -> DataFrame:
     """Top buying customers by delivered gross: rank the totals, then look up k names.
 
@@ -194,8 +192,7 @@ def e1_top_customers_preagg(
     before the lookup is the same as after it, and the customer table is only
     scanned against k keys instead of being shuffled.
     """
-    kept = delivered() if status is None else status
-    best = customer_sales(model, kept).select("customer_id", "gross")
+    best = customer_sales(model, sales).select("customer_id", "gross")
     best = best.orderBy(F.desc("gross"), "customer_id").limit(k)
     total = money("gross") if rounded else F.col("gross")
     return (
@@ -214,7 +211,7 @@ def f2_cohort_retention(model: RetailModel, months: int = 12) -> DataFrame:
     the distinct customers are a plain count.
     """
     activity = (
-        kept_orders(model, valid_sale())
+        model.kept_orders(Sales.VALID)
         .groupBy("customer_id", month_of("order_date").alias("activity_month"))
         .agg(F.lit(1).alias("active"))
         .withColumn("cohort_month", F.min("activity_month").over(W.partitionBy("customer_id")))
@@ -231,7 +228,7 @@ def f2_cohort_retention(model: RetailModel, months: int = 12) -> DataFrame:
 
 def vc3_clv_ntile(model: RetailModel, k: int = 10) -> DataFrame:
     """Top customers by value over orders of every status, tiered by value quartile."""
-    value = customer_sales(model, None).select(
+    value = customer_sales(model, Sales.ANY).select(
         "customer_id", "orders", F.col("net").alias("lifetime_value")
     )
     tiled = with_ntile(value, 4, [F.asc("lifetime_value"), F.asc("customer_id")], "quartile")

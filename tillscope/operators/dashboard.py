@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.functions.measures import money, ratio, valid_sale
+from tillscope.functions.measures import Sales, money, ratio
 from tillscope.model import RetailModel
 from tillscope.operators.counts import g7_row_counts
 from tillscope.operators.customers import e1_top_customers_correlated, e1_top_customers_preagg
@@ -33,7 +33,7 @@ def va1_order_listing(model: RetailModel, ordered: bool = False) -> DataFrame:
 def va3_segment_revenue_all(model: RetailModel) -> DataFrame:
     """Segment revenue over orders of every status."""
     return (
-        segment_totals(model, None)
+        segment_totals(model, Sales.ANY)
         .orderBy(F.desc("net"), "segment")
         .select(
             "segment",

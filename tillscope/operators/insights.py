@@ -10,13 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillscope.functions.measures import (
+    Sales,
     amount,
     carried_sums,
     growth_pct,
     money,
     ratio,
     share_pct,
-    valid_sale,
 )
 from tillscope.model import RetailModel
 from tillscope.operators.customers import customer_history, spend_quartiles, with_value_estimate
@@ -191,7 +191,7 @@ def i8_segment_uplift(
     segments = (
         model.customers.filter(F.col("segment").isin(source, target))
         .select("customer_id", "segment")
-        .join(customer_sales(model, valid_sale()), "customer_id", "left")
+        .join(customer_sales(model, Sales.VALID), "customer_id", "left")
         .groupBy("segment")
         .agg(F.count("*").alias("customers"), *carried_sums("net"))
         .select("segment", "customers", ratio(amount("net"), "customers").alias("per_customer"))

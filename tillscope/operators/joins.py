@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions.measures import (
+    Sales,
     amount,
     carried_sums,
     line_amount,
     money,
     ratio,
-    valid_sale,
 )
 from tillscope.model import RetailModel
-from tillscope.plans.frames import customer_sales, kept_orders
+from tillscope.plans.frames import customer_sales
 
 
 def a1_order_details(model: RetailModel, ordered: bool = False) -> DataFrame:
@@ -27,7 +27,7 @@ def a1_order_details(model: RetailModel, ordered: bool = False) -> DataFrame:
     ``ordered`` adds the listing order (newest order first) as a range sort.
     """
     headers = (
-        model.orders.filter(valid_sale())
+        model.kept_orders(Sales.VALID)
         .select("order_id", "customer_id", "order_date", "status")
         .join(
             model.named_customers.select(
@@ -69,18 +69,16 @@ def a2_customers_without_orders(
     model: RetailModel,
     as_of: date,
     since: date | None = None,
-    status: Column | None = None,
+    sales: Sales = Sales.ANY,
     ordered: bool = False,
 ) -> DataFrame:
     """Active customers who never ordered, whatever became of an order.
 
-    ``since`` and ``status`` narrow what counts as an order. The ordering
+    ``since`` and ``sales`` narrow what counts as an order. The ordering
     customers are made distinct before the anti join, so a customer with very
     many orders is one row when it reaches the exchange.
     """
-    orders = kept_orders(model, status)
-    if since is not None:
-        orders = orders.filter(F.col("order_date") >= F.lit(since))
+    orders = model.kept_orders(sales, None if since is None else F.lit(since))
     buyers = orders.select("customer_id").distinct()
     dormant = (
         model.named_customers.filter("is_active")
@@ -99,10 +97,10 @@ def a2_customers_without_orders(
     return dormant.orderBy("date_joined", "customer_id") if ordered else dormant
 
 
-def segment_totals(model: RetailModel, status: Column | None) -> DataFrame:
+def segment_totals(model: RetailModel, sales: Sales) -> DataFrame:
     """segment: buying customers, orders, lines and net, without any DISTINCT."""
     return (
-        customer_sales(model, status)
+        customer_sales(model, sales)
         .join(model.customers.select("customer_id", "segment"), "customer_id")
         .groupBy("segment")
         .agg(
@@ -118,7 +116,7 @@ def segment_totals(model: RetailModel, status: Column | None) -> DataFrame:
 def a3_segment_revenue(model: RetailModel) -> DataFrame:
     """Customers, orders, revenue, mean line and mean order value per segment."""
     return (
-        segment_totals(model, valid_sale())
+        segment_totals(model, Sales.VALID)
         .orderBy(F.desc("net"), "segment")
         .select(
             "segment",

@@ -7,13 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillscope.functions.measures import (
+    Sales,
     amount,
     carried_sums,
     line_sums,
     money,
     ratio,
     share_pct,
-    valid_sale,
 )
 from tillscope.functions.ordering import with_rank
 from tillscope.model import RetailModel
@@ -26,7 +26,7 @@ def d1_top_products_by_region(model: RetailModel, k: int = 3) -> DataFrame:
     The rank filter is applied inside every task before the exchange on region
     (Spark's group limit), so a region's ranking task sees only candidates.
     """
-    placed = model.orders.filter(valid_sale()).join(
+    placed = model.kept_orders(Sales.VALID).join(
         model.customers.select("customer_id", "region_id"), "customer_id"
     )
     sales = (
@@ -55,7 +55,7 @@ def product_margins(model: RetailModel, valid_only: bool = False) -> DataFrame:
     Sum(quantity x (line price - cost)) equals sum(gross) - cost x sum(quantity),
     so lines are folded per product before they meet the catalogue.
     """
-    lines = sold_lines(model, valid_sale()) if valid_only else model.lines
+    lines = sold_lines(model, Sales.VALID) if valid_only else model.lines
     sold = lines.groupBy("product_id").agg(
         F.sum("quantity").alias("units_sold"), *line_sums("gross")
     )
@@ -112,7 +112,7 @@ def f3_underperforming_categories(model: RetailModel, overall_avg: bool = False)
     )
     # (order, root) rows first: the distinct orders of a root are then a plain count
     revenue = (
-        sold_lines(model, valid_sale())
+        sold_lines(model, Sales.VALID)
         .join(roots.select("product_id", "root_name"), "product_id")
         .groupBy("order_id", "root_name")
         .agg(*line_sums("net"))

@@ -9,12 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillscope.functions.measures import (
+    Sales,
     amount,
     carried_sums,
     money,
     ratio,
     share_pct,
-    valid_sale,
 )
 from tillscope.model import RetailModel
 from tillscope.plans.frames import customer_sales, product_sales, sold_lines
@@ -26,7 +26,7 @@ def b1_above_average_customers(model: RetailModel, ordered: bool = False) -> Dat
     The comparison uses unrounded amounts. The mean is a scalar subquery over
     the same per-customer exchange, which Spark reuses instead of recomputing.
     """
-    spend = customer_sales(model, valid_sale())
+    spend = customer_sales(model, Sales.VALID)
     # spend > total / buyers, kept exact by multiplying out
     totals = (
         spend.agg(*carried_sums("net"), F.count("*").alias("buyers"))
@@ -92,8 +92,8 @@ def b3_active_categories(model: RetailModel, as_of: date, months: int = 12) -> D
     category's parent. With that key the existence test is an equi semi join;
     the sold products are made distinct before they meet the catalogue.
     """
-    recent = valid_sale() & (F.col("order_date") >= F.add_months(F.lit(as_of), -months))
-    sold = sold_lines(model, recent).select("product_id").distinct()
+    since = F.add_months(F.lit(as_of), -months)
+    sold = sold_lines(model, Sales.VALID, since=since).select("product_id").distinct()
     owners = model.categories.select(
         "category_id", F.coalesce("parent_id", "category_id").alias("root_id")
     )

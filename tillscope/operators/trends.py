@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillscope.functions.measures import (
+    Sales,
     amount,
     carried_sums,
-    delivered,
     growth_pct,
-    line_sums,
     money,
-    month_of,
     ratio,
     share_pct,
-    valid_sale,
 )
 from tillscope.model import RetailModel
-from tillscope.plans.frames import month_sales, order_sales, region_month_sales, sold_lines
+from tillscope.plans.frames import month_sales, order_sales, region_month_sales
 
 
 def _in_time() -> WindowSpec:
@@ -33,7 +30,7 @@ def c1_monthly_trend(model: RetailModel) -> DataFrame:
     buyers a plain count. The running total adds up unrounded months.
     """
     months = (
-        order_sales(model, valid_sale())
+        order_sales(model, Sales.VALID)
         .groupBy("sales_month", "customer_id")
         .agg(F.count("*").alias("orders"), *carried_sums("net"))
         .groupBy("sales_month")
@@ -56,7 +53,7 @@ def c1_monthly_trend(model: RetailModel) -> DataFrame:
 
 
 def rounded_months(model: RetailModel) -> DataFrame:
-    return month_sales(model, valid_sale()).select(
+    return month_sales(model, Sales.VALID).select(
         "sales_month", money("net").alias("net_revenue")
     )
 
@@ -111,23 +108,25 @@ def d3_region_running_total(model: RetailModel) -> DataFrame:
     )
 
 
-def e2_monthly_gross(model: RetailModel, status: Column | None = None) -> DataFrame:
+def e2_monthly_gross(model: RetailModel, sales: Sales = Sales.DELIVERED) -> DataFrame:
     """Unrounded gross of delivered orders per month, straight from joined lines."""
-    kept = delivered() if status is None else status
     return (
-        sold_lines(model, kept, "order_date")
-        .groupBy(month_of("order_date").alias("sales_month"))
-        .agg(*line_sums("gross"))
-        .select("sales_month", amount("gross").alias("gross_revenue"))
+        month_sales(model, sales)
+        .select("sales_month", F.col("gross").alias("gross_revenue"))
         .orderBy("sales_month")
     )
 
 
-def e2_monthly_gross_preproject(model: RetailModel, status: Column | None = None) -> DataFrame:
-    """The same months, rounded, from lines folded per order before the join."""
-    kept = delivered() if status is None else status
+def e2_monthly_gross_preproject(model: RetailModel, sales: Sales = Sales.DELIVERED) -> DataFrame:
+    """The same months, rounded, from lines folded per order before the join.
+
+    The better form for lines stored in order_id order (see ``sources.tables``):
+    the fold is then complete before anything is shuffled.
+    """
     return (
-        month_sales(model, kept)
-        .select("sales_month", money("gross").alias("gross_revenue"))
+        order_sales(model, sales)
+        .groupBy("sales_month")
+        .agg(*carried_sums("gross"))
+        .select("sales_month", money(amount("gross")).alias("gross_revenue"))
         .orderBy("sales_month")
     )

@@ -1,10 +1,11 @@
 """Shared base frames. The grain of each one decides what has to be shuffled.
 
-Lines are summed per order *before* they meet the orders: partial aggregation
-folds an oversized order inside the map tasks, the exchange on ``order_id`` that
-the join needs anyway carries one row per order, and everything above the line
-grain (customer, month, region, segment) reads these totals. Since an order
-appears once, COUNT(DISTINCT order) is a plain count from there on.
+Where orders are counted, lines are summed per order *before* they meet the
+orders: partial aggregation folds an oversized order inside the map tasks, the
+exchange on ``order_id`` that the join needs anyway carries at most one row per
+order and task, and everything above (customer, segment, region) reads these
+totals. Since an order appears once, COUNT(DISTINCT order) is a plain count from
+there on.
 """
 
 from __future__ import annotations
@@ -13,18 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions.measures import (
+    Sales,
     amount,
     carried_sums,
     line_sums,
     month_of,
-    valid_sale,
 )
 from tillscope.model import RetailModel
 
-def kept_orders(model: RetailModel, status: Column | None) -> DataFrame:
-    return model.orders if status is None else model.orders.filter(status)
-
-
 def order_totals(model: RetailModel) -> DataFrame:
     """One row per order that has lines: lines, units, partial sums of gross and net."""
     return model.lines.groupBy("order_id").agg(
@@ -34,20 +31,20 @@ def order_totals(model: RetailModel) -> DataFrame:
     )
 
 
-def order_sales(model: RetailModel, status: Column | None) -> DataFrame:
+def order_sales(model: RetailModel, sales: Sales) -> DataFrame:
     """One row per kept order with lines: its customer, date, month and totals."""
     return (
-        kept_orders(model, status)
+        model.kept_orders(sales)
         .select("order_id", "customer_id", "order_date")
         .join(order_totals(model), "order_id")
         .withColumn("sales_month", month_of("order_date"))
     )
 
 
-def customer_sales(model: RetailModel, status: Column | None) -> DataFrame:
+def customer_sales(model: RetailModel, sales: Sales) -> DataFrame:
     """One row per customer with sold lines: orders, lines, units, gross, net."""
     return (
-        order_sales(model, status)
+        order_sales(model, sales)
         .groupBy("customer_id")
         .agg(
             F.count("*").alias("orders"),
@@ -59,34 +56,37 @@ def customer_sales(model: RetailModel, status: Column | None) -> DataFrame:
     )
 
 
-def month_sales(model: RetailModel, status: Column | None) -> DataFrame:
-    """One row per month with sold lines: orders, gross, net."""
-    return (
-        order_sales(model, status)
-        .groupBy("sales_month")
-        .agg(
-            F.count("*").alias("orders"),
-            *carried_sums("gross", "net"),
-        )
-        .withColumns({"gross": amount("gross"), "net": amount("net")})
-    )
-
-
-def sold_lines(model: RetailModel, status: Column | None, *order_columns: str) -> DataFrame:
+def sold_lines(
+    model: RetailModel, sales: Sales, *order_columns: str, since: Column | None = None
+) -> DataFrame:
     """Lines of kept orders, with the named order columns added.
 
     Needed where the product matters, so nothing can be summed beforehand; an
     oversized order is left to the adaptive skew-join split.
     """
     lines = model.lines.select("order_id", "product_id", "quantity", "gross_micros", "net_micros")
-    orders = kept_orders(model, status).select("order_id", *order_columns)
+    orders = model.kept_orders(sales, since).select("order_id", *order_columns)
     return lines.join(orders, "order_id", "inner" if order_columns else "left_semi")
 
 
+def month_sales(model: RetailModel, sales: Sales) -> DataFrame:
+    """One row per month with sold lines: gross, net.
+
+    Only sums are wanted, so the joined lines go straight into the month's
+    partial aggregate; folding them per order first would cost more than it saves.
+    """
+    return (
+        sold_lines(model, sales, "order_date")
+        .groupBy(month_of("order_date").alias("sales_month"))
+        .agg(*line_sums("gross", "net"))
+        .withColumns({"gross": amount("gross"), "net": amount("net")})
+    )
+
+
 def product_sales(model: RetailModel) -> DataFrame:
     """One row per product with valid sales: units, net."""
     return (
-        sold_lines(model, valid_sale())
+        sold_lines(model, Sales.VALID)
         .groupBy("product_id")
         .agg(F.sum("quantity").alias("units"), *line_sums("net"))
         .withColumn("net", amount("net"))
@@ -96,7 +96,7 @@ def product_sales(model: RetailModel) -> DataFrame:
 def region_month_sales(model: RetailModel) -> DataFrame:
     """region_name x sales_month: net of valid sales, unrounded."""
     return (
-        order_sales(model, valid_sale())
+        order_sales(model, Sales.VALID)
         .join(model.customers.select("customer_id", "region_id"), "customer_id")
         .groupBy("region_id", "sales_month")
         .agg(*carried_sums("net"))

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 # Runtime SQL settings only; memory, cores and shuffle partitions stay with the
 # cluster. Joins carry no broadcast hint: Spark broadcasts a side only when its
 # file size or its measured shuffle size is under autoBroadcastJoinThreshold and
-# falls back to a shuffled join otherwise. A hot join key is split by the skew
-# rule, also where the split costs one more exchange further up.
+# falls back to a shuffled join otherwise. That join hashes instead of sorting
+# where every partition of one side was measured below 64 MB. A hot join key is
+# split by the skew rule, also where the split costs one more exchange further up.
 ADAPTIVE_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
 }
 
 

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.model import RetailModel
 from tillscope.schema import DEFAULTS
 
 
-def _filled(model: RetailModel, table: str) -> DataFrame:
-    frame = model.table(table)
+def with_defaults(table: str, frame: DataFrame) -> DataFrame:
+    """Replace NULLs by the declared default of their column."""
     kinds = dict(frame.dtypes)
     return frame.withColumns(
         {
@@ -20,8 +17,3 @@ def _filled(model: RetailModel, table: str) -> DataFrame:
             for column, value in DEFAULTS[table].items()
         }
     )
-
-
-def with_defaults(model: RetailModel) -> RetailModel:
-    """Replace NULLs by the declared default of their column."""
-    return model.with_tables(**{table: partial(_filled, model, table) for table in DEFAULTS})

@@ -13,7 +13,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.functions.measures import line_amount, ratio
+from tillscope.functions.measures import Sales, from_cents, rounded_div
 from tillscope.model import RetailModel
 from tillscope.sources.defaults import with_defaults
 
@@ -53,21 +53,20 @@ def _regions(region: DataFrame) -> DataFrame:
 
 def _categories(part: DataFrame) -> DataFrame:
     """One root per part type, one leaf per type and brand."""
-    pairs = part.select("p_type", "p_brand").distinct()
-    roots = pairs.select("p_type").distinct()
-    return roots.select(
+    root = F.struct(
         F.col("p_type").alias("category_id"),
         F.col("p_type").alias("category_name"),
         _unknown("string").alias("parent_id"),
         (F.col("p_type") != "PROMO").alias("is_active"),
-    ).unionAll(
-        pairs.select(
-            F.concat("p_type", F.lit("/"), "p_brand"),
-            "p_brand",
-            "p_type",
-            _unknown("boolean"),
-        )
     )
+    leaf = F.struct(
+        F.concat("p_type", F.lit("/"), "p_brand").alias("category_id"),
+        F.col("p_brand").alias("category_name"),
+        F.col("p_type").alias("parent_id"),
+        _unknown("boolean").alias("is_active"),
+    )
+    pairs = part.select("p_type", "p_brand").distinct()
+    return pairs.select(F.explode(F.array(root, leaf)).alias("row")).select("row.*").distinct()
 
 
 def _customers(customer: DataFrame, nation: DataFrame) -> DataFrame:
@@ -135,31 +134,46 @@ def _order_items(lineitem: DataFrame) -> DataFrame:
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("product_id"),
         quantity.alias("quantity"),
-        ratio(line_amount(cents * 10_000), quantity).alias("unit_price"),
-        (basis_points.cast("decimal(7,0)") * F.lit("0.01").cast("decimal(2,2)"))
-        .cast("decimal(5,2)")
-        .alias("discount_pct"),
+        from_cents(rounded_div(cents, quantity)).alias("unit_price"),
+        from_cents(basis_points).cast("decimal(5,2)").alias("discount_pct"),
         (cents * 10_000).alias("gross_micros"),
         (cents * (10_000 - basis_points)).alias("net_micros"),
     )
 
 
-def raw_star_schema(spark: SparkSession, root: str) -> RetailModel:
-    """The model before defaults: columns unknown to the source are NULL."""
+# Source codes of the states that an analysis counts; any other code is a cancelled order.
+_COUNTED = {Sales.VALID: ("F", "O"), Sales.DELIVERED: ("F",)}
 
-    def read(table: str) -> DataFrame:
-        return spark.read.schema(_SCANS[table]).parquet(f"{root}/{table}.parquet")
 
-    return RetailModel(
-        regions=lambda: _regions(read("region")),
-        categories=lambda: _categories(read("part")),
-        customers=lambda: _customers(read("customer"), read("nation")),
-        products=lambda: _products(read("part")),
-        orders=lambda: _orders(read("orders")),
-        order_items=lambda: _order_items(read("lineitem")),
-    )
+class StarSchema(RetailModel):
+    """The model over ``root``/<table>.parquet.
+
+    With ``fill`` off, columns unknown to the source stay NULL.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, fill: bool = True) -> None:
+        def read(table: str) -> DataFrame:
+            return spark.read.schema(_SCANS[table]).parquet(f"{root}/{table}.parquet")
 
+        def finish(table: str, frame: DataFrame) -> DataFrame:
+            return with_defaults(table, frame) if fill else frame
+
+        self._source_orders = lambda: read("orders")
+        self._finish = finish
+        super().__init__(
+            regions=lambda: finish("regions", _regions(read("region"))),
+            categories=lambda: finish("categories", _categories(read("part"))),
+            customers=lambda: finish("customers", _customers(read("customer"), read("nation"))),
+            products=lambda: finish("products", _products(read("part"))),
+            orders=lambda: finish("orders", _orders(read("orders"))),
+            order_items=lambda: finish("order_items", _order_items(read("lineitem"))),
+        )
 
-def star_schema(spark: SparkSession, root: str) -> RetailModel:
-    """The model over ``root``/<table>.parquet, defaults filled in."""
-    return with_defaults(raw_star_schema(spark, root))
+    def kept_orders(self, sales: Sales, since: Column | None = None) -> DataFrame:
+        """Filters on the source's own columns, so that they reach the scan."""
+        source = self._source_orders()
+        if sales is not Sales.ANY:
+            source = source.filter(F.col("o_orderstatus").isin(*_COUNTED[sales]))
+        if since is not None:
+            source = source.filter(F.col("o_orderdate") >= since.cast("timestamp_ntz"))
+        return self._finish("orders", _orders(source))
