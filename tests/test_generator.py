@@ -1,0 +1,162 @@
+"""Closed-form facts of the generated data set at its standard size."""
+
+from datetime import date
+from decimal import Decimal as D
+
+from pyspark.sql import functions as F
+
+from tillscope.functions.measures import Sales, money
+from tillscope.operators.counts import TOTAL_LABEL, g7_row_counts
+from tillscope.operators.customers import spend_quartiles
+from tillscope.operators.insights import i1_top_products, i4_quartile_share
+from tillscope.operators.joins import a2_customers_without_orders, a3_segment_revenue
+from tillscope.operators.products import f3_underperforming_categories
+from tillscope.operators.quality import q_check, q_fk, q_nn, q_pk, q_uniq
+from tillscope.operators.subqueries import b1_above_average_customers, b2_category_revenue_share
+from tillscope.operators.trends import rounded_months
+from tillscope.plans.frames import customer_sales, region_month_sales
+from tillscope.sources.generate import gen_model
+
+
+def pairs(frame, key, value):
+    return {row[key]: row[value] for row in frame.collect()}
+
+
+def test_row_counts(standard):
+    assert pairs(g7_row_counts(standard), "tbl", "rows") == {
+        "regions": 6,
+        "categories": 20,
+        "customers": 2000,
+        "products": 77,
+        "orders": 12000,
+        "order_items": 28950,
+        TOTAL_LABEL: 43053,
+    }
+
+
+def test_customers(standard):
+    customers = standard.customers
+    assert pairs(customers.groupBy("segment").count(), "segment", "count") == {
+        "Bronze": 900,
+        "Silver": 600,
+        "Gold": 400,
+        "Platinum": 100,
+    }
+    assert standard.named_customers.select("customer_name").distinct().count() == 30
+    assert customers.filter("NOT is_active").count() == 80
+    first = customers.filter("customer_id = 1").first()
+    assert (first.email, first.phone, first.region_id, first.date_joined) == (
+        "customer1@retaildemo.com",
+        "555-0001",
+        2,
+        date(2019, 1, 2),
+    )
+
+
+def test_orders(standard):
+    orders = standard.orders
+    assert pairs(orders.groupBy("status").count(), "status", "count") == {
+        "Delivered": 5144,
+        "Shipped": 1714,
+        "Processing": 1714,
+        "Cancelled": 1714,
+        "Returned": 1714,
+    }
+    per_customer = orders.groupBy("customer_id").count().select("count").distinct().collect()
+    assert [row[0] for row in per_customer] == [6]
+    assert orders.select(F.min("order_date"), F.max("order_date")).first() == (
+        date(2020, 1, 1),
+        date(2023, 12, 30),
+    )
+    unshipped = orders.filter("shipped_date IS NULL").select("status").distinct().collect()
+    assert [row[0] for row in unshipped] == ["Delivered"]
+    assert orders.join(standard.order_items, "order_id", "left_anti").count() == 150
+
+
+def test_lines_apply_the_discount_once_to_the_price(standard):
+    # order 8 has 10 % off; line 1 of it: product (8 * 1009 + 7) % 80 + 1 = 80 does not exist
+    lines = standard.order_items.filter("order_id = 16").orderBy("order_item_id").collect()
+    prices = pairs(standard.products, "product_id", "unit_price")
+    for line in lines:
+        exact = prices[line.product_id] * D("0.9")
+        assert line.unit_price == exact.quantize(D("0.01"), rounding="ROUND_HALF_UP")
+        assert line.discount_pct == D("10.00")
+    assert standard.order_items.select("product_id").distinct().count() == 77
+
+
+def test_segment_and_total_revenue(standard):
+    segments = pairs(a3_segment_revenue(standard), "segment", "total_net_revenue")
+    assert segments == {
+        "Bronze": D("9284855.19"),
+        "Silver": D("3924687.75"),
+        "Gold": D("3853316.95"),
+        "Platinum": D("119301.79"),
+    }
+    exact = customer_sales(standard, Sales.VALID).agg(F.sum("net")).first()[0]
+    assert exact == D("17182161.6825")
+
+
+def test_region_revenue(standard):
+    regions = (
+        region_month_sales(standard)
+        .groupBy("region_name")
+        .agg(money(F.sum("net")).alias("net"))
+    )
+    assert pairs(regions, "region_name", "net") == {
+        "North East": D("2347099.71"),
+        "South East": D("3365018.70"),
+        "Mid West": D("2378607.57"),
+        "South West": D("3344770.32"),
+        "West Coast": D("2412144.03"),
+        "Northwest": D("3334521.35"),
+    }
+
+
+def test_category_revenue(standard):
+    assert pairs(
+        b2_category_revenue_share(standard), "category_name", "total_net_revenue"
+    ) == {
+        "Electronics": D("10551774.35"),
+        "Home & Garden": D("3305799.06"),
+        "Sports & Outdoors": D("2154164.28"),
+        "Clothing & Apparel": D("816290.42"),
+        "Food & Beverage": D("354133.59"),
+    }
+    weak = [row.category_name for row in f3_underperforming_categories(standard).collect()]
+    assert weak == ["Food & Beverage", "Clothing & Apparel", "Sports & Outdoors", "Home & Garden"]
+
+
+def test_customer_results(standard):
+    assert a2_customers_without_orders(standard, date(2024, 1, 1)).count() == 0
+    assert b1_above_average_customers(standard).count() == 671
+    spenders = spend_quartiles(standard)
+    assert spenders.count() == 1975
+    assert spenders.select("total_spend").distinct().count() == 152
+    top = pairs(i4_quartile_share(standard), "spend_quartile", "revenue_pct")
+    # the fourth tile of 1975 rows holds 493 of them (66.80 %), not 494 (66.87 %)
+    assert top[4] == D("66.8")
+
+
+def test_best_product_and_extreme_months(standard):
+    best = i1_top_products(standard, 1).first()
+    assert (best.product_name, best.net_revenue) == ("Peloton Bike+", D("1254242.74"))
+    months = sorted(rounded_months(standard).collect(), key=lambda row: row.net_revenue)
+    assert (months[0].sales_month, months[-1].sales_month) == (
+        date(2021, 11, 1),
+        date(2020, 9, 1),
+    )
+
+
+def test_generated_data_meets_every_rule(standard):
+    for row in q_pk(standard).collect():
+        assert (row.null_rows, row.duplicate_keys, row.surplus_rows) == (0, 0, 0)
+    assert {row.duplicate_keys for row in q_uniq(standard).collect()} == {0}
+    assert {row.orphan_rows for row in q_fk(standard).collect()} == {0}
+    assert {row.violations for row in q_check(standard).collect()} == {0}
+    assert {row.null_rows for row in q_nn(standard).collect()} == {0}
+
+
+def test_size_is_a_parameter(spark):
+    model = gen_model(spark, customers=50, orders=400)
+    assert (model.customers.count(), model.orders.count()) == (50, 400)
+    assert model.orders.agg(F.max("customer_id")).first()[0] == 50

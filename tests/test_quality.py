@@ -1,0 +1,103 @@
+"""Validation jobs on tables that break the rules."""
+
+from datetime import date
+
+import pytest
+from pyspark.sql import types as T
+
+from conftest import HAND, build_model
+from tillscope.model import RetailModel
+from tillscope.operators import quality
+from tillscope.schema import SCHEMAS
+from tillscope.sources.defaults import with_defaults
+
+
+@pytest.fixture(scope="module")
+def broken(spark):
+    """Nullable copies of the hand-made tables with one fault of each kind."""
+    base = build_model(spark)
+    orders = [
+        (1, 1, date(2023, 1, 1), None, "Delivered", "Card", None),
+        (1, 77, None, None, "Lost", "Card", None),
+        (None, None, date(2023, 1, 1), None, None, "Card", None),
+    ]
+    customers = [
+        (1, "Ann", "Lee", "a@x", None, 1, "Gold", date(2020, 1, 1), None),
+        (2, "Ann", "Lee", "a@x", None, 9, "Iron", date(2020, 1, 1), True),
+        (3, "Ann", "Lee", None, None, 9, None, date(2020, 1, 1), True),
+        (4, "Ann", "Lee", None, None, 1, "Gold", date(2020, 1, 1), True),
+    ]
+    items = [(1, 1, 1, 0, None, None), (2, 5, 1, -1, None, None), (3, 5, 1, None, None, None)]
+
+    def nullable(table, rows):
+        fields = [T.StructField(f.name, f.dataType, True) for f in SCHEMAS[table]]
+        return spark.createDataFrame(rows, T.StructType(fields))
+
+    return base.with_tables(
+        orders=nullable("orders", orders),
+        customers=nullable("customers", customers),
+        order_items=nullable("order_items", items),
+    )
+
+
+def found(frame, *key):
+    return {tuple(row[k] for k in key): row for row in frame.collect()}
+
+
+def test_primary_keys(broken):
+    result = found(quality.q_pk(broken), "table_name")
+    assert tuple(result[("orders",)])[2:] == (1, 1, 1)
+    assert tuple(result[("customers",)])[2:] == (0, 0, 0)
+
+
+def test_unique_columns_allow_nulls(broken):
+    result = found(quality.q_uniq(broken), "column_name")
+    assert tuple(result[("email",)])[2:] == (1, 1)
+    assert tuple(result[("region_name",)])[2:] == (0, 0)
+
+
+def test_references_skip_nulls_and_count_rows(broken):
+    result = found(quality.q_fk(broken), "table_name", "column_name")
+    assert tuple(result[("customers", "region_id")])[3:] == (1, 2)
+    assert tuple(result[("orders", "customer_id")])[3:] == (1, 1)
+    assert tuple(result[("order_items", "order_id")])[3:] == (1, 2)
+    assert tuple(result[("categories", "parent_id")])[3:] == (1, 1)
+    dangling = quality.orphans(broken, "order_items", "order_id", "orders").collect()
+    assert [tuple(row) for row in dangling] == [(5, 2)]
+    repeated = quality.duplicate_keys(broken, "orders", "order_id").collect()
+    assert [tuple(row) for row in repeated] == [(1, 2)]
+
+
+def test_checks_pass_on_unknown(broken):
+    result = found(quality.q_check(broken), "table_name")
+    assert result[("customers",)].violations == 1
+    assert result[("orders",)].violations == 1
+    assert result[("order_items",)].violations == 2
+
+
+def test_required_columns(broken):
+    result = found(quality.q_nn(broken), "table_name", "column_name")
+    assert result[("orders", "order_date")].null_rows == 1
+    assert result[("customers", "email")].null_rows == 2
+    assert result[("order_items", "quantity")].null_rows == 1
+    assert ("orders", "shipped_date") not in result
+
+
+def test_defaults(broken):
+    result = found(quality.q_def(broken), "table_name", "column_name")
+    assert result[("orders", "discount_pct")].filled_rows == 3
+    assert result[("customers", "is_active")].filled_rows == 1
+    filled = RetailModel(
+        **{table: with_defaults(table, broken.table(table)) for table in SCHEMAS}
+    )
+    assert {row.filled_rows for row in quality.q_def(filled).collect()} == {0}
+    assert filled.orders.filter("discount_pct = 0").count() == 3
+
+
+def test_empty_tables_have_no_violations(spark):
+    empty = build_model(spark, **{table: [] for table in HAND})
+    for row in quality.q_pk(empty).collect():
+        assert tuple(row)[2:] == (0, 0, 0)
+    for row in quality.q_fk(empty).collect():
+        assert tuple(row)[3:] == (0, 0)
+    assert {row.null_rows for row in quality.q_nn(empty).collect()} == {0}
