@@ -19,20 +19,19 @@ from tillscope.session import durable
 _ROW_BITS = 33
 
 
-def with_position(frame: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """Add the 1-based position of each row in ``order``.
-
-    ``order`` should end with a unique key: it makes positions reproducible and
-    lets a run of equal values spread over several partitions.
-    """
-    numbered = durable(
+def _numbered(frame: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows in range partitions, each with its partition and row number in ``_seq``."""
+    return durable(
         frame.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_seq", F.monotonically_increasing_id())
     )
+
+
+def _placed(numbered: DataFrame, name: str) -> DataFrame:
+    """Replace ``_seq`` by the position in the whole table."""
     part = F.shiftright("_seq", _ROW_BITS)
     row = F.col("_seq") - F.shiftleft(part, _ROW_BITS)
-
     earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         numbered.groupBy(part.alias("_part"))
@@ -48,6 +47,15 @@ def with_position(frame: DataFrame, order: list[Column], name: str = "position")
     )
 
 
+def with_position(frame: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Add the 1-based position of each row in ``order``.
+
+    ``order`` should end with a unique key: it makes positions reproducible and
+    lets a run of equal values spread over several partitions.
+    """
+    return _placed(_numbered(frame, order), name)
+
+
 def with_ntile(
     frame: DataFrame, tiles: int, order: list[Column], name: str = "tile"
 ) -> DataFrame:
@@ -70,6 +78,11 @@ def with_rank(frame: DataFrame, value: str, key: str, name: str = "rank") -> Dat
     A rank is the first position among equal values, so the positions are
     reduced per distinct value (combined map-side) and joined back.
     """
-    placed = with_position(frame, [F.col(value).desc_nulls_first(), F.col(key).asc()], "_position")
-    first = placed.groupBy(F.col(value).alias("_value")).agg(F.min("_position").alias(name))
-    return placed.join(first, F.col(value).eqNullSafe(F.col("_value"))).drop("_value", "_position")
+    numbered = _numbered(frame, [F.col(value).desc_nulls_first(), F.col(key).asc()])
+    first = (
+        _placed(numbered.select(F.col(value).alias("_value"), "_seq"), "_position")
+        .groupBy("_value")
+        .agg(F.min("_position").alias(name))
+    )
+    rows = numbered.drop("_seq")
+    return rows.join(first, F.col(value).eqNullSafe(F.col("_value"))).drop("_value")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tillscope.schema import DEFAULT_COUNTRY, SCHEMAS
 
@@ -140,14 +142,21 @@ PAYMENT_CYCLE = (
 )
 
 
+def _literal(spark: SparkSession, table: str, rows: list[tuple]) -> DataFrame:
+    """Rows held in the plan itself: Spark knows their size and broadcasts them in joins."""
+    schema = SCHEMAS[table]
+    columns = dict(zip(schema.names, map(list, zip(*rows))))
+    return spark.createDataFrame(pa.table(columns, schema=to_arrow_schema(schema)), schema)
+
+
 def gen_regions(spark: SparkSession) -> DataFrame:
     rows = [(i, name, DEFAULT_COUNTRY) for i, name in enumerate(REGIONS, 1)]
-    return spark.createDataFrame(rows, SCHEMAS["regions"])
+    return _literal(spark, "regions", rows)
 
 
 def gen_categories(spark: SparkSession) -> DataFrame:
     rows = [(i, *category) for i, category in enumerate(CATEGORIES, 1)]
-    return spark.createDataFrame(rows, SCHEMAS["categories"])
+    return _literal(spark, "categories", rows)
 
 
 def gen_products(spark: SparkSession) -> DataFrame:
@@ -155,4 +164,4 @@ def gen_products(spark: SparkSession) -> DataFrame:
         (i, name, category, Decimal(cost), Decimal(price), stock, True)
         for i, (name, category, cost, price, stock) in enumerate(PRODUCTS, 1)
     ]
-    return spark.createDataFrame(rows, SCHEMAS["products"])
+    return _literal(spark, "products", rows)
