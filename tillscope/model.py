@@ -95,11 +95,18 @@ class RetailModel:
         )
 
     @property
-    def rooted_categories(self) -> DataFrame:
-        """category_id -> root_name: the parent's name, or the category's own."""
+    def catalogue(self) -> DataFrame:
+        """Products with ``category_name`` and ``root_name``.
+
+        The root is the category's parent, or the category itself if it has none;
+        it climbs one level only.
+        """
         parents = self.categories.select(
             F.col("category_id").alias("parent_id"), F.col("category_name").alias("parent_name")
         )
-        return self.categories.join(parents, "parent_id", "left").select(
-            "category_id", F.coalesce("parent_name", "category_name").alias("root_name")
+        categories = self.categories.join(parents, "parent_id", "left").select(
+            "category_id",
+            "category_name",
+            F.coalesce("parent_name", "category_name").alias("root_name"),
         )
+        return self.products.join(categories, "category_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tillscope.model import RetailModel
+from tillscope.session import durable
 
 _TREE = """
 WITH RECURSIVE tree AS (
@@ -31,9 +32,10 @@ ORDER BY id_path
 def c2_category_tree(model: RetailModel) -> DataFrame:
     """Depth-first listing of all categories below a root, with depth and path.
 
-    A category already on its own path is not entered again, so a repeated id
+    The categories are materialised first: every level of the recursion reads
+    them again. A category already on its own path is not entered again, so a repeated id
     cannot loop. Spark stops with an error, not with a shortened result, beyond
     ``spark.sql.cteRecursionLevelLimit`` levels or ``...RowLimit`` rows.
     """
     spark = model.categories.sparkSession
-    return spark.sql(_TREE, categories=model.categories)
+    return spark.sql(_TREE, categories=durable(model.categories))

@@ -33,8 +33,7 @@ def i1_top_products(model: RetailModel, k: int = 5) -> DataFrame:
     """Best products by net revenue of valid sales, with units and catalogue margin."""
     best = product_sales(model).orderBy(F.desc("net"), "product_id").limit(k)
     return (
-        model.products.join(best, "product_id")
-        .join(model.categories.select("category_id", "category_name"), "category_id")
+        model.catalogue.join(best, "product_id")
         .orderBy(F.desc("net"), "product_id")
         .select(
             "product_id",

@@ -22,7 +22,7 @@ from tillscope.plans.frames import customer_sales
 def a1_order_details(model: RetailModel, ordered: bool = False) -> DataFrame:
     """Every valid order line with its customer, region, product and leaf category.
 
-    The joins are bushy: headers meet customers and products meet categories
+    The joins are bushy: headers meet customers and products their categories
     first, so the lines, by far the largest side, move at most twice.
     ``ordered`` adds the listing order (newest order first) as a range sort.
     """
@@ -40,9 +40,7 @@ def a1_order_details(model: RetailModel, ordered: bool = False) -> DataFrame:
         )
         .join(model.regions.select("region_id", "region_name"), "region_id")
     )
-    goods = model.products.select("product_id", "product_name", "category_id").join(
-        model.categories.select("category_id", "category_name"), "category_id"
-    )
+    goods = model.catalogue.select("product_id", "product_name", "category_name")
     detail = model.lines.join(headers, "order_id").join(goods, "product_id")
     if ordered:
         detail = detail.orderBy(F.desc("order_date"), "order_id", "order_item_id")

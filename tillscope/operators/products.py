@@ -41,8 +41,9 @@ def d1_top_products_by_region(model: RetailModel, k: int = 3) -> DataFrame:
         F.col("region_rank") <= k
     )
     return (
-        best.join(model.products.select("product_id", "product_name", "category_id"), "product_id")
-        .join(model.categories.select("category_id", "category_name"), "category_id")
+        best.join(
+            model.catalogue.select("product_id", "product_name", "category_name"), "product_id"
+        )
         .join(model.regions.select("region_id", "region_name"), "region_id")
         .select("region_name", "region_rank", "product_name", "category_name", "net_revenue")
         .orderBy("region_name", "region_rank", "product_name")
@@ -60,10 +61,10 @@ def product_margins(model: RetailModel, valid_only: bool = False) -> DataFrame:
         F.sum("quantity").alias("units_sold"), *line_sums("gross")
     )
     cost = F.col("unit_cost") * F.col("units_sold").cast("decimal(18,0)")
-    return model.products.join(sold, "product_id", "left").select(
+    return model.catalogue.join(sold, "product_id", "left").select(
         "product_id",
         "product_name",
-        "category_id",
+        "category_name",
         "unit_cost",
         "unit_price",
         share_pct(F.col("unit_price") - F.col("unit_cost"), "unit_price").alias("margin_pct"),
@@ -81,11 +82,8 @@ def f1_product_margin(
     leaves them out. Products that never sold have a NULL profit, rank first
     and are listed last.
     """
-    ranked = with_rank(
+    report = with_rank(
         product_margins(model, valid_only), "gross_profit", "product_id", "profit_rank"
-    )
-    report = ranked.join(
-        model.categories.select("category_id", "category_name"), "category_id"
     ).select(
         "product_id",
         "product_name",
@@ -107,13 +105,10 @@ def f3_underperforming_categories(model: RetailModel, overall_avg: bool = False)
     the two differences shown are taken over the rows that remain; with
     ``overall_avg`` they use the mean the filter used.
     """
-    roots = model.products.select("product_id", "category_id").join(
-        model.rooted_categories.select("category_id", "root_name"), "category_id"
-    )
     # (order, root) rows first: the distinct orders of a root are then a plain count
     revenue = (
         sold_lines(model, Sales.VALID)
-        .join(roots.select("product_id", "root_name"), "product_id")
+        .join(model.catalogue.select("product_id", "root_name"), "product_id")
         .groupBy("order_id", "root_name")
         .agg(*line_sums("net"))
         .groupBy("root_name")

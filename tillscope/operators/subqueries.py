@@ -56,12 +56,9 @@ def b1_above_average_customers(model: RetailModel, ordered: bool = False) -> Dat
 
 def root_sales(model: RetailModel) -> DataFrame:
     """root_name: units and net of valid sales, one row per root that sold."""
-    roots = model.products.select("product_id", "category_id").join(
-        model.rooted_categories.select("category_id", "root_name"), "category_id"
-    )
     return (
         product_sales(model)
-        .join(roots, "product_id")
+        .join(model.catalogue.select("product_id", "root_name"), "product_id")
         .groupBy("root_name")
         .agg(F.sum("units").alias("units"), *carried_sums("net"))
         .withColumn("net", amount("net"))

@@ -88,7 +88,7 @@ def _customers(customer: DataFrame, nation: DataFrame) -> DataFrame:
     )
 
 
-def _products(part: DataFrame) -> DataFrame:
+def _products(part: DataFrame, *more: Column) -> DataFrame:
     price = F.col("p_retailprice").cast("decimal(10,2)")
     cost_share = F.lit("0.500").cast("decimal(4,3)") + F.col("p_size").cast(
         "decimal(3,0)"
@@ -101,6 +101,7 @@ def _products(part: DataFrame) -> DataFrame:
         price.alias("unit_price"),
         _unknown("int").alias("stock_qty"),
         (F.col("p_size") >= 5).alias("is_active"),
+        *more,
     )
 
 
@@ -158,7 +159,7 @@ class StarSchema(RetailModel):
         def finish(table: str, frame: DataFrame) -> DataFrame:
             return with_defaults(table, frame) if fill else frame
 
-        self._source_orders = lambda: read("orders")
+        self._read = read
         self._finish = finish
         super().__init__(
             regions=lambda: finish("regions", _regions(read("region"))),
@@ -169,9 +170,18 @@ class StarSchema(RetailModel):
             order_items=lambda: finish("order_items", _order_items(read("lineitem"))),
         )
 
+    @property
+    def catalogue(self) -> DataFrame:
+        """The source's parts carry both category names, so nothing has to be joined."""
+        part = self._read("part")
+        return self._finish(
+            "products",
+            _products(part, F.col("p_brand").alias("category_name"), F.col("p_type").alias("root_name")),
+        )
+
     def kept_orders(self, sales: Sales, since: Column | None = None) -> DataFrame:
         """Filters on the source's own columns, so that they reach the scan."""
-        source = self._source_orders()
+        source = self._read("orders")
         if sales is not Sales.ANY:
             source = source.filter(F.col("o_orderstatus").isin(*_COUNTED[sales]))
         if since is not None:
