@@ -7,9 +7,15 @@ import pytest
 from tillscope.functions.measures import Sales
 from tillscope.operators.joins import a3_segment_revenue
 from tillscope.operators.trends import e2_monthly_gross, e2_monthly_gross_preproject
-from tillscope.plans.frames import order_totals
 from tillscope.schema import SCHEMAS, TABLES
-from tillscope.sources.tables import open_tables, read_tables, save_bucketed, write_tables
+from tillscope.sources import tables
+from tillscope.sources.tables import (
+    open_tables,
+    read_tables,
+    save_bucketed,
+    store_order_totals,
+    write_tables,
+)
 
 
 def plan(frame):
@@ -60,9 +66,23 @@ def test_status_filter_prunes_folders(stored):
 def test_buckets_save_the_exchanges_on_order_id(spark, bucketed):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert "Exchange" not in plan(order_totals(bucketed))
+        assert "Exchange" not in plan(bucketed.order_totals)
         orders = bucketed.kept_orders(Sales.VALID).select("order_id", "customer_id")
-        joined = plan(orders.join(order_totals(bucketed), "order_id"))
+        joined = plan(orders.join(bucketed.order_totals, "order_id"))
         assert "SortMergeJoin" in joined and "Exchange" not in joined
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_buckets_are_refused_for_an_oversized_order(standard, monkeypatch):
+    monkeypatch.setattr(tables, "_SMALL_BUCKET", 2)
+    with pytest.raises(ValueError, match="one order holds 4 of 28950 lines"):
+        save_bucketed(standard, "retail", buckets=28950)
+
+
+def test_stored_totals_replace_the_lines(stored, tmp_path):
+    folded = store_order_totals(stored, str(tmp_path / "totals"))
+    assert a3_segment_revenue(folded).collect() == a3_segment_revenue(stored).collect()
+    assert "unit_price" not in plan(a3_segment_revenue(folded))
+    again = folded.with_tables(order_items=stored.order_items.limit(0))
+    assert a3_segment_revenue(again).count() == 0

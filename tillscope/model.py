@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.functions.measures import Sales, counted, gross_micros, net_micros
+from tillscope.functions.measures import Sales, counted, gross_micros, line_sums, net_micros
 
 Table = DataFrame | Callable[[], DataFrame]
 
@@ -18,7 +18,8 @@ class RetailModel:
     A table may be given as a function; it is then built on first use, so an
     analysis only plans the tables it reads. ``order_items`` may carry exact
     ``gross_micros`` and ``net_micros`` of its own, for sources that store line
-    amounts instead of unit prices.
+    amounts instead of unit prices. ``order_totals`` may be a stored copy of the
+    frame of that name (see ``sources.tables.store_order_totals``).
     """
 
     def __init__(
@@ -29,6 +30,7 @@ class RetailModel:
         products: Table,
         orders: Table,
         order_items: Table,
+        order_totals: Table | None = None,
     ) -> None:
         self._tables = {
             "regions": regions,
@@ -37,6 +39,7 @@ class RetailModel:
             "products": products,
             "orders": orders,
             "order_items": order_items,
+            "order_totals": self._fold_lines if order_totals is None else order_totals,
         }
 
     def table(self, name: str) -> DataFrame:
@@ -46,7 +49,11 @@ class RetailModel:
         return table
 
     def with_tables(self, **tables: Table) -> "RetailModel":
-        return RetailModel(**{**self._tables, **tables})
+        """A model with some tables replaced; totals are folded anew from replaced lines."""
+        kept = dict(self._tables)
+        if "order_items" in tables:
+            del kept["order_totals"]
+        return RetailModel(**{**kept, **tables})
 
     @property
     def regions(self) -> DataFrame:
@@ -87,6 +94,18 @@ class RetailModel:
             items = items.withColumn("net_micros", net_micros("gross_micros", "discount_pct"))
         return items
 
+    def _fold_lines(self) -> DataFrame:
+        return self.lines.groupBy("order_id").agg(
+            F.count("*").alias("lines"),
+            F.sum("quantity").alias("units"),
+            *line_sums("gross", "net"),
+        )
+
+    @property
+    def order_totals(self) -> DataFrame:
+        """One row per order that has lines: lines, units, partial sums of gross and net."""
+        return self.table("order_totals")
+
     @property
     def named_customers(self) -> DataFrame:
         """Customers with ``customer_name``; NULL if either part is missing."""

@@ -21,7 +21,7 @@ from tillscope.functions.measures import (
 )
 from tillscope.functions.ordering import with_ntile
 from tillscope.model import RetailModel
-from tillscope.plans.frames import customer_sales, order_totals
+from tillscope.plans.frames import customer_sales
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ def customer_history(model: RetailModel) -> DataFrame:
     return (
         model.kept_orders(Sales.VALID)
         .select("order_id", "customer_id", "order_date")
-        .join(order_totals(model), "order_id", "left")
+        .join(model.order_totals, "order_id", "left")
         .groupBy("customer_id")
         .agg(
             *carried_sums("net"),

@@ -22,21 +22,12 @@ from tillscope.functions.measures import (
 )
 from tillscope.model import RetailModel
 
-def order_totals(model: RetailModel) -> DataFrame:
-    """One row per order that has lines: lines, units, partial sums of gross and net."""
-    return model.lines.groupBy("order_id").agg(
-        F.count("*").alias("lines"),
-        F.sum("quantity").alias("units"),
-        *line_sums("gross", "net"),
-    )
-
-
 def order_sales(model: RetailModel, sales: Sales) -> DataFrame:
     """One row per kept order with lines: its customer, date, month and totals."""
     return (
         model.kept_orders(sales)
         .select("order_id", "customer_id", "order_date")
-        .join(order_totals(model), "order_id")
+        .join(model.order_totals, "order_id")
         .withColumn("sales_month", month_of("order_date"))
     )
 

@@ -132,6 +132,10 @@ LAST_NAMES = (
     "White", "Harris", "Sanchez", "Clark", "Ramirez", "Lewis", "Robinson",
 )
 
+# Contact data of generated customers, around their number.
+EMAIL_PARTS = ("customer", "@retaildemo.com")
+PHONE_PREFIX = "555-"
+
 # Order states and payment methods, both picked by the same remainder.
 STATUS_CYCLE = (
     "Delivered", "Delivered", "Delivered", "Shipped", "Processing", "Cancelled", "Returned",

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from tillscope.model import RetailModel
 from tillscope.sources.catalogue import (
+    EMAIL_PARTS,
     FIRST_NAMES,
     LAST_NAMES,
     PAYMENT_CYCLE,
+    PHONE_PREFIX,
     STATUS_CYCLE,
     gen_categories,
     gen_products,
@@ -53,12 +55,13 @@ def gen_customers(seq: DataFrame) -> DataFrame:
     """Customers before reclassification: half Bronze, 30 % Silver, 20 % Gold."""
     n = F.col("n")
     digit = n % 10
+    before, after = EMAIL_PARTS
     return seq.select(
         n.alias("customer_id"),
         _pick(FIRST_NAMES, n - 1).alias("first_name"),
         _pick(LAST_NAMES, n - 1).alias("last_name"),
-        F.concat(F.lit("customer"), n, F.lit("@retaildemo.com")).alias("email"),
-        F.concat(F.lit("555-"), F.lpad((n % 10000).cast("string"), 4, "0")).alias("phone"),
+        F.concat(F.lit(before), n, F.lit(after)).alias("email"),
+        F.concat(F.lit(PHONE_PREFIX), F.lpad((n % 10000).cast("string"), 4, "0")).alias("phone"),
         (n % 6 + 1).alias("region_id"),
         F.when(digit < 5, "Bronze").when(digit < 8, "Silver").otherwise("Gold").alias("segment"),
         _day(FIRST_JOIN, n % JOIN_DAYS).alias("date_joined"),

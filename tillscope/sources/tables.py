@@ -5,9 +5,13 @@ Two layouts take the place of secondary indexes:
 * ``write_tables``: plain Parquet. Orders are partitioned by status and sorted
   by date inside each file, so a status filter prunes folders and a date range
   prunes row groups. Lines are range-clustered by order, so that the sum per
-  order is complete after the map-side combine.
+  order is complete after the map-side combine. The range key includes the line,
+  which lets an order with very many lines spread over several files.
 * ``save_bucketed``: orders and lines bucketed alike by order_id. The sum per
   order and the join of lines with orders then need no exchange at all.
+
+``store_order_totals`` keeps the lines folded per order. Every report at order
+grain or above then reads that table, several times smaller than the lines.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from tillscope.model import RetailModel
 from tillscope.schema import SCHEMAS, TABLES
 
 _BUCKETED = ("orders", "order_items")
+_SMALL_BUCKET = 1_000_000  # lines that any task can take
 
 
 def _declared(model: RetailModel, table: str) -> DataFrame:
@@ -37,7 +42,9 @@ def write_tables(model: RetailModel, root: str) -> None:
             frame.write.mode("overwrite").partitionBy("status").parquet(f"{root}/{table}")
             continue
         if table == "order_items":
-            frame = frame.repartitionByRange("order_id").sortWithinPartitions("order_id")
+            frame = frame.repartitionByRange("order_id", "order_item_id").sortWithinPartitions(
+                "order_id", "order_item_id"
+            )
         frame.write.mode("overwrite").parquet(f"{root}/{table}")
 
 
@@ -56,8 +63,13 @@ def read_tables(spark: SparkSession, root: str) -> RetailModel:
 def save_bucketed(model: RetailModel, database: str, buckets: int) -> None:
     """Save the tables to a catalog database, facts bucketed and sorted by order_id.
 
-    Choose ``buckets`` so that one bucket of lines is a few hundred MB.
+    Choose ``buckets`` so that one bucket of lines is a few hundred MB. A bucket is
+    read by one task; if a single order outweighs a whole bucket, nothing is
+    written and the plain layout is the one to use.
     """
+    largest, lines = model.order_totals.agg(F.max("lines"), F.sum("lines")).first()
+    if lines and largest > max(lines / buckets, _SMALL_BUCKET):
+        raise ValueError(f"one order holds {largest} of {lines} lines: use write_tables")
     for table in TABLES:
         frame = _declared(model, table)
         if table in _BUCKETED:
@@ -70,3 +82,11 @@ def save_bucketed(model: RetailModel, database: str, buckets: int) -> None:
 
 def open_tables(spark: SparkSession, database: str) -> RetailModel:
     return RetailModel(**{table: spark.table(f"{database}.{table}") for table in TABLES})
+
+
+def store_order_totals(model: RetailModel, path: str) -> RetailModel:
+    """Write the lines folded per order; the returned model's reports read that table."""
+    totals = model.order_totals
+    totals.write.mode("overwrite").parquet(path)
+    stored = totals.sparkSession.read.schema(totals.schema).parquet(path)
+    return model.with_tables(order_totals=stored)
