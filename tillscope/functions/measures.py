@@ -1,7 +1,8 @@
 """The metric layer: every amount, ratio and date bucket is defined once, here.
 
-Money stays in exact decimals from scan to report. Rounding is half away from
-zero, which is what ``round`` does on DECIMAL columns; doubles are never rounded.
+Money is exact from scan to report: whole numbers while it is summed, DECIMAL
+when it is shown. Rounding is half away from zero, which is what ``round`` does
+on DECIMAL columns; doubles are never rounded.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ _MICROS_PER_CENT = 10_000
 
 
 def gross_micros(quantity: ColumnOrName, unit_price: ColumnOrName) -> Column:
-    """quantity x unit price."""
+    """quantity x unit price, for lines below 9.2 * 10**12 (beyond is an overflow error)."""
     cents = _col(unit_price).cast("decimal(16,2)") * F.lit(100)
     return _col(quantity).cast("bigint") * cents.cast("bigint") * _MICROS_PER_CENT
 
@@ -105,7 +106,9 @@ def money(amount: ColumnOrName) -> Column:
     return F.round(_col(amount), 2).cast("decimal(22,2)")
 
 
-def ratio(numerator: ColumnOrName, denominator: ColumnOrName, scale: int = 2, per: int = 1) -> Column:
+def ratio(
+    numerator: ColumnOrName, denominator: ColumnOrName, scale: int = 2, per: int = 1
+) -> Column:
     """numerator / denominator x per, rounded; NULL for a zero denominator.
 
     The casts fix Spark's result type at 14 decimals for operands below 10**18;

@@ -48,7 +48,7 @@ def _placed(numbered: DataFrame, name: str) -> DataFrame:
 
 
 def with_position(frame: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """Add the 1-based position of each row in ``order``.
+    """Add the 1-based position of each row in ``order``. Runs a job when called.
 
     ``order`` should end with a unique key: it makes positions reproducible and
     lets a run of equal values spread over several partitions.

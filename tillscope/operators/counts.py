@@ -18,7 +18,7 @@ def g7_row_counts(model: RetailModel, total: bool = True) -> DataFrame:
     counts = reduce(
         DataFrame.unionAll,
         [
-            model.table(name).agg(F.count("*").alias("rows")).select(F.lit(name).alias("tbl"), "rows")
+            model.table(name).agg(F.lit(name).alias("tbl"), F.count("*").alias("rows"))
             for name in TABLES
         ],
     )

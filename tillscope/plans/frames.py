@@ -22,6 +22,7 @@ from tillscope.functions.measures import (
 )
 from tillscope.model import RetailModel
 
+
 def order_sales(model: RetailModel, sales: Sales) -> DataFrame:
     """One row per kept order with lines: its customer, date, month and totals."""
     return (

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 # falls back to a shuffled join otherwise. That join hashes instead of sorting
 # where every partition of one side was measured below 64 MB. A hot join key is
 # split by the skew rule, also where the split costs one more exchange further up.
-ADAPTIVE_SETTINGS = {
+SETTINGS = {
+    "spark.sql.ansi.enabled": "true",  # an overflow is an error, never a wrong sum
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -22,8 +23,8 @@ ADAPTIVE_SETTINGS = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Switch on the adaptive features that the join and grouping plans rely on."""
-    for key, value in ADAPTIVE_SETTINGS.items():
+    """Set what the operators rely on: checked arithmetic and adaptive joins."""
+    for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
 

@@ -37,8 +37,6 @@ _SCANS = {
 _LINES_PER_ORDER_KEY = 8  # line numbers run from 1 to 7
 
 
-
-
 def _unknown(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
@@ -173,11 +171,8 @@ class StarSchema(RetailModel):
     @property
     def catalogue(self) -> DataFrame:
         """The source's parts carry both category names, so nothing has to be joined."""
-        part = self._read("part")
-        return self._finish(
-            "products",
-            _products(part, F.col("p_brand").alias("category_name"), F.col("p_type").alias("root_name")),
-        )
+        names = F.col("p_brand").alias("category_name"), F.col("p_type").alias("root_name")
+        return self._finish("products", _products(self._read("part"), *names))
 
     def kept_orders(self, sales: Sales, since: Column | None = None) -> DataFrame:
         """Filters on the source's own columns, so that they reach the scan."""
