@@ -21,7 +21,7 @@ from tillscope.functions.measures import (
 )
 from tillscope.functions.ordering import with_ntile
 from tillscope.model import RetailModel
-from tillscope.plans.frames import customer_sales
+from tillscope.plans.frames import customer_sales, listed
 
 
 @dataclass(frozen=True)
@@ -199,6 +199,7 @@ def e1_top_customers_preagg(
         model.named_customers.select("customer_id", "customer_name")
         .join(best, "customer_id")
         .orderBy(F.desc("gross"), "customer_id")
+        .limit(k)
         .select("customer_id", "customer_name", total.alias("total_spend"))
     )
 
@@ -222,7 +223,7 @@ def f2_cohort_retention(model: RetailModel, months: int = 12) -> DataFrame:
         .filter(F.col("months_since_first_order") < months)
         .groupBy("cohort_month", "months_since_first_order")
         .agg(F.count("*").alias("active_customers"))
-        .orderBy("cohort_month", "months_since_first_order")
+        .transform(listed, "cohort_month", "months_since_first_order")
     )
 
 
@@ -237,6 +238,7 @@ def vc3_clv_ntile(model: RetailModel, k: int = 10) -> DataFrame:
         model.named_customers.select("customer_id", "customer_name")
         .join(best, "customer_id")
         .orderBy(F.desc("lifetime_value"), "customer_id")
+        .limit(k)
         .select(
             "customer_id",
             F.col("customer_name").alias("customer"),

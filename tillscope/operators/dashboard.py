@@ -12,6 +12,7 @@ from tillscope.operators.customers import e1_top_customers_correlated, e1_top_cu
 from tillscope.operators.joins import a1_order_details, segment_totals
 from tillscope.operators.products import d1_top_products_by_region
 from tillscope.operators.trends import c1_monthly_trend, d2_month_over_month
+from tillscope.plans.frames import listed
 
 
 def va1_order_listing(model: RetailModel, ordered: bool = False) -> DataFrame:
@@ -34,7 +35,7 @@ def va3_segment_revenue_all(model: RetailModel) -> DataFrame:
     """Segment revenue over orders of every status."""
     return (
         segment_totals(model, Sales.ANY)
-        .orderBy(F.desc("net"), "segment")
+        .transform(listed, F.desc("net"), "segment")
         .select(
             "segment",
             F.col("customers").alias("total_customers"),
@@ -79,21 +80,22 @@ def vd2_growth_direction(model: RetailModel) -> DataFrame:
 def ve1_top_customers_nulls_first(model: RetailModel, k: int = 10) -> DataFrame:
     """Top customers with the customers that have no delivered order on top."""
     top = e1_top_customers_correlated(model, k, nulls="first").select("customer_id", "total_spend")
-    return _with_first_name(model, top)
+    return _with_first_name(model, top, k)
 
 
 def ve1_top_customers_unrounded(model: RetailModel, k: int = 10) -> DataFrame:
     """Top buying customers with their unrounded total."""
     top = e1_top_customers_preagg(model, k, rounded=False).select("customer_id", "total_spend")
-    return _with_first_name(model, top)
+    return _with_first_name(model, top, k)
 
 
-def _with_first_name(model: RetailModel, top: DataFrame) -> DataFrame:
+def _with_first_name(model: RetailModel, top: DataFrame, k: int) -> DataFrame:
     return (
         model.customers.select("customer_id", "first_name")
         .join(top, "customer_id")
         .select("customer_id", "first_name", "total_spend")
         .orderBy(F.desc_nulls_first("total_spend"), "customer_id")
+        .limit(k)
     )
 
 

@@ -21,7 +21,12 @@ from tillscope.functions.measures import (
 from tillscope.model import RetailModel
 from tillscope.operators.customers import customer_history, spend_quartiles, with_value_estimate
 from tillscope.operators.trends import d2_month_over_month, rounded_months
-from tillscope.plans.frames import customer_sales, product_sales, region_month_sales
+from tillscope.plans.frames import (
+    customer_sales,
+    listed,
+    product_sales,
+    region_month_sales,
+)
 
 
 def _all() -> WindowSpec:
@@ -35,6 +40,7 @@ def i1_top_products(model: RetailModel, k: int = 5) -> DataFrame:
     return (
         model.catalogue.join(best, "product_id")
         .orderBy(F.desc("net"), "product_id")
+        .limit(k)
         .select(
             "product_id",
             "product_name",
@@ -61,7 +67,7 @@ def i2_region_year(model: RetailModel) -> DataFrame:
             share_pct("net_revenue", F.sum("net_revenue").over(year)).alias("pct_of_year"),
             growth_pct("net_revenue", F.lag("net_revenue").over(history), 1).alias("yoy_pct"),
         )
-        .orderBy("region_name", "sales_year")
+        .transform(listed, "region_name", "sales_year")
     )
 
 
@@ -123,7 +129,7 @@ def i5_quarter_growth(model: RetailModel) -> DataFrame:
         .groupBy(F.quarter("sales_month").cast("bigint").alias("quarter"))
         .agg(F.count("*").alias("months"), F.sum("mom_growth_pct").alias("growth"))
         .select("quarter", "months", ratio("growth", "months").alias("avg_mom_growth_pct"))
-        .orderBy("quarter")
+        .transform(listed, "quarter")
     )
 
 
@@ -137,7 +143,7 @@ def i6_peak_trough_month(model: RetailModel) -> DataFrame:
         .withColumn("is_trough", F.col("net_revenue") == F.min("net_revenue").over(year))
         .filter("is_peak OR is_trough")
         .select("sales_year", "sales_month", "net_revenue", "is_peak", "is_trough")
-        .orderBy("sales_year", "sales_month")
+        .transform(listed, "sales_year", "sales_month")
     )
 
 

@@ -16,7 +16,7 @@ from tillscope.functions.measures import (
     ratio,
 )
 from tillscope.model import RetailModel
-from tillscope.plans.frames import customer_sales
+from tillscope.plans.frames import customer_sales, listed
 
 
 def a1_order_details(model: RetailModel, ordered: bool = False) -> DataFrame:
@@ -115,7 +115,7 @@ def a3_segment_revenue(model: RetailModel) -> DataFrame:
     """Customers, orders, revenue, mean line and mean order value per segment."""
     return (
         segment_totals(model, Sales.VALID)
-        .orderBy(F.desc("net"), "segment")
+        .transform(listed, F.desc("net"), "segment")
         .select(
             "segment",
             F.col("customers").alias("total_customers"),

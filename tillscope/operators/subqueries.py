@@ -17,7 +17,7 @@ from tillscope.functions.measures import (
     share_pct,
 )
 from tillscope.model import RetailModel
-from tillscope.plans.frames import customer_sales, product_sales, sold_lines
+from tillscope.plans.frames import customer_sales, listed, product_sales, sold_lines
 
 
 def b1_above_average_customers(model: RetailModel, ordered: bool = False) -> DataFrame:
@@ -106,5 +106,5 @@ def b3_active_categories(model: RetailModel, as_of: date, months: int = 12) -> D
         model.categories.filter(F.col("parent_id").isNull() & F.col("is_active"))
         .join(selling_roots, "category_id", "left_semi")
         .select("category_id", "category_name", "is_active")
-        .orderBy("category_name")
+        .transform(listed, "category_name")
     )

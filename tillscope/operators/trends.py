@@ -16,7 +16,7 @@ from tillscope.functions.measures import (
     share_pct,
 )
 from tillscope.model import RetailModel
-from tillscope.plans.frames import month_sales, order_sales, region_month_sales
+from tillscope.plans.frames import listed, month_sales, order_sales, region_month_sales
 
 
 def _in_time() -> WindowSpec:
@@ -104,7 +104,7 @@ def d3_region_running_total(model: RetailModel) -> DataFrame:
                 "pct_of_region_total"
             ),
         )
-        .orderBy("region_name", "sales_month")
+        .transform(listed, "region_name", "sales_month")
     )
 
 
@@ -113,7 +113,7 @@ def e2_monthly_gross(model: RetailModel, sales: Sales = Sales.DELIVERED) -> Data
     return (
         month_sales(model, sales)
         .select("sales_month", F.col("gross").alias("gross_revenue"))
-        .orderBy("sales_month")
+        .transform(listed, "sales_month")
     )
 
 
@@ -128,5 +128,5 @@ def e2_monthly_gross_preproject(model: RetailModel, sales: Sales = Sales.DELIVER
         .groupBy("sales_month")
         .agg(*carried_sums("gross"))
         .select("sales_month", money(amount("gross")).alias("gross_revenue"))
-        .orderBy("sales_month")
+        .transform(listed, "sales_month")
     )

@@ -48,6 +48,15 @@ def customer_sales(model: RetailModel, sales: Sales) -> DataFrame:
     )
 
 
+def listed(report: DataFrame, *order: Column | str) -> DataFrame:
+    """A report of few rows (months, regions, segments, roots) in listing order.
+
+    A global ``orderBy`` samples its input first and so runs the report's last
+    aggregate twice. These rows fit into any one task: they are sent there and sorted.
+    """
+    return report.repartition(1).sortWithinPartitions(*order)
+
+
 def sold_lines(
     model: RetailModel, sales: Sales, *order_columns: str, since: Column | None = None
 ) -> DataFrame:
