@@ -4,11 +4,13 @@ from datetime import date
 
 import pytest
 
+from tillscope.catalog import OPERATORS, run
 from tillscope.functions.measures import Sales
 from tillscope.operators.joins import a3_segment_revenue
 from tillscope.operators.trends import e2_monthly_gross, e2_monthly_gross_preproject
 from tillscope.schema import SCHEMAS, TABLES
 from tillscope.sources import tables
+from tillscope.sources.star_schema import AS_OF, STORED_SCHEMAS, StarSchema
 from tillscope.sources.tables import (
     open_tables,
     read_tables,
@@ -86,3 +88,20 @@ def test_stored_totals_replace_the_lines(stored, tmp_path):
     assert "unit_price" not in plan(a3_segment_revenue(folded))
     again = folded.with_tables(order_items=stored.order_items.limit(0))
     assert a3_segment_revenue(again).count() == 0
+
+
+@pytest.fixture(scope="module")
+def landed(spark, tmp_path_factory):
+    """The given star schema, and the same data stored in the plain layout."""
+    given = StarSchema(spark, "/root/testdata/sf0.001")
+    root = str(tmp_path_factory.mktemp("landed"))
+    write_tables(given, root, STORED_SCHEMAS)
+    return given, read_tables(spark, root, STORED_SCHEMAS)
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_stored_star_schema_gives_the_same_reports(landed, name):
+    parameters = {"as_of": AS_OF, "source": "BUILDING", "target": "MACHINERY"}
+    given, stored = (run(model, name, **parameters) for model in landed)
+    assert given.columns == stored.columns
+    assert sorted(map(str, given.collect())) == sorted(map(str, stored.collect()))

@@ -12,9 +12,11 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillscope.functions.measures import Sales, from_cents, rounded_div
 from tillscope.model import RetailModel
+from tillscope.schema import SCHEMAS
 from tillscope.sources.defaults import with_defaults
 
 # The day after the last order; stands in for today.
@@ -34,6 +36,23 @@ _SCANS = {
     "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
 }
 
+
+def _retyped(table: str, **kinds: T.DataType) -> T.StructType:
+    """The declared schema of a table with columns of another type, or more columns."""
+    fields = {field.name: field for field in SCHEMAS[table]}
+    return T.StructType(
+        list((fields | {name: T.StructField(name, kind) for name, kind in kinds.items()}).values())
+    )
+
+
+# For storing this model with ``sources.tables``: category ids are text here, and
+# line amounts are kept because the price per unit is rounded.
+STORED_SCHEMAS = SCHEMAS | {
+    "categories": _retyped("categories", category_id=T.StringType(), parent_id=T.StringType()),
+    "products": _retyped("products", category_id=T.StringType()),
+    "order_items": _retyped("order_items", gross_micros=T.LongType(), net_micros=T.LongType()),
+}
+
 _LINES_PER_ORDER_KEY = 8  # line numbers run from 1 to 7
 
 

@@ -16,8 +16,11 @@ grain or above then reads that table, several times smaller than the lines.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tillscope.model import RetailModel
 from tillscope.schema import SCHEMAS, TABLES
@@ -26,17 +29,20 @@ _BUCKETED = ("orders", "order_items")
 _SMALL_BUCKET = 1_000_000  # lines that any task can take
 
 
-def _declared(model: RetailModel, table: str) -> DataFrame:
+Schemas = Mapping[str, StructType]
+
+
+def _declared(model: RetailModel, table: str, schemas: Schemas) -> DataFrame:
     """The table's declared columns in their declared types."""
     return model.table(table).select(
-        *[F.col(field.name).cast(field.dataType).alias(field.name) for field in SCHEMAS[table]]
+        *[F.col(field.name).cast(field.dataType).alias(field.name) for field in schemas[table]]
     )
 
 
-def write_tables(model: RetailModel, root: str) -> None:
+def write_tables(model: RetailModel, root: str, schemas: Schemas = SCHEMAS) -> None:
     """Overwrite ``root``/<table> with the six tables."""
     for table in TABLES:
-        frame = _declared(model, table)
+        frame = _declared(model, table, schemas)
         if table == "orders":
             frame = frame.sortWithinPartitions("status", "order_date")
             frame.write.mode("overwrite").partitionBy("status").parquet(f"{root}/{table}")
@@ -48,19 +54,21 @@ def write_tables(model: RetailModel, root: str) -> None:
         frame.write.mode("overwrite").parquet(f"{root}/{table}")
 
 
-def read_tables(spark: SparkSession, root: str) -> RetailModel:
+def read_tables(spark: SparkSession, root: str, schemas: Schemas = SCHEMAS) -> RetailModel:
     """Scan the six tables with their declared schemas; nothing is inferred."""
     return RetailModel(
         **{
-            table: spark.read.schema(SCHEMAS[table])
+            table: spark.read.schema(schemas[table])
             .parquet(f"{root}/{table}")
-            .select(*SCHEMAS[table].names)
+            .select(*schemas[table].names)
             for table in TABLES
         }
     )
 
 
-def save_bucketed(model: RetailModel, database: str, buckets: int) -> None:
+def save_bucketed(
+    model: RetailModel, database: str, buckets: int, schemas: Schemas = SCHEMAS
+) -> None:
     """Save the tables to a catalog database, facts bucketed and sorted by order_id.
 
     Choose ``buckets`` so that one bucket of lines is a few hundred MB. A bucket is
@@ -71,7 +79,7 @@ def save_bucketed(model: RetailModel, database: str, buckets: int) -> None:
     if lines and largest > max(lines / buckets, _SMALL_BUCKET):
         raise ValueError(f"one order holds {largest} of {lines} lines: use write_tables")
     for table in TABLES:
-        frame = _declared(model, table)
+        frame = _declared(model, table, schemas)
         if table in _BUCKETED:
             writer = frame.repartition(buckets, "order_id").write
             writer = writer.bucketBy(buckets, "order_id").sortBy("order_id")
