@@ -86,6 +86,9 @@ def test_stored_totals_replace_the_lines(stored, tmp_path):
     folded = store_order_totals(stored, str(tmp_path / "totals"))
     assert a3_segment_revenue(folded).collect() == a3_segment_revenue(stored).collect()
     assert "unit_price" not in plan(a3_segment_revenue(folded))
+    assert e2_monthly_gross(folded).collect() == e2_monthly_gross(stored).collect()
+    assert "unit_price" not in plan(e2_monthly_gross(folded))
+    assert folded.with_tables(regions=stored.regions).totals_stored
     again = folded.with_tables(order_items=stored.order_items.limit(0))
     assert a3_segment_revenue(again).count() == 0
 

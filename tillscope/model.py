@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions.measures import Sales, counted, gross_micros, line_sums, net_micros
+from tillscope.schema import TABLES
 
 Table = DataFrame | Callable[[], DataFrame]
 
@@ -41,6 +42,7 @@ class RetailModel:
             "order_items": order_items,
             "order_totals": self._fold_lines if order_totals is None else order_totals,
         }
+        self.totals_stored = order_totals is not None
 
     def table(self, name: str) -> DataFrame:
         table = self._tables[name]
@@ -50,9 +52,9 @@ class RetailModel:
 
     def with_tables(self, **tables: Table) -> "RetailModel":
         """A model with some tables replaced; totals are folded anew from replaced lines."""
-        kept = dict(self._tables)
-        if "order_items" in tables:
-            del kept["order_totals"]
+        kept = {name: self._tables[name] for name in TABLES}
+        if self.totals_stored and "order_items" not in tables:
+            kept["order_totals"] = self._tables["order_totals"]
         return RetailModel(**{**kept, **tables})
 
     @property

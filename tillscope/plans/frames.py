@@ -13,13 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.functions.measures import (
-    Sales,
-    amount,
-    carried_sums,
-    line_sums,
-    month_of,
-)
+from tillscope.functions.measures import Sales, amount, carried_sums, line_sums, month_of
 from tillscope.model import RetailModel
 
 
@@ -74,14 +68,17 @@ def month_sales(model: RetailModel, sales: Sales) -> DataFrame:
     """One row per month with sold lines: gross, net.
 
     Only sums are wanted, so the joined lines go straight into the month's
-    partial aggregate; folding them per order first would cost more than it saves.
+    partial aggregate; folding them per order first would cost more than it
+    saves, unless the folded lines are at hand already.
     """
-    return (
-        sold_lines(model, sales, "order_date")
-        .groupBy(month_of("order_date").alias("sales_month"))
-        .agg(*line_sums("gross", "net"))
-        .withColumns({"gross": amount("gross"), "net": amount("net")})
-    )
+    if model.totals_stored:
+        grouped = order_sales(model, sales).groupBy("sales_month")
+        months = grouped.agg(*carried_sums("gross", "net"))
+    else:
+        lines = sold_lines(model, sales, "order_date")
+        grouped = lines.groupBy(month_of("order_date").alias("sales_month"))
+        months = grouped.agg(*line_sums("gross", "net"))
+    return months.withColumns({"gross": amount("gross"), "net": amount("net")})
 
 
 def product_sales(model: RetailModel) -> DataFrame:
