@@ -34,6 +34,13 @@ def test_row_counts(standard):
     }
 
 
+def test_row_counts_are_listed_in_table_order(standard):
+    listing = [row.tbl for row in g7_row_counts(standard).collect()]
+    assert listing == [
+        "regions", "categories", "customers", "products", "orders", "order_items", TOTAL_LABEL,
+    ]
+
+
 def test_customers(standard):
     customers = standard.customers
     assert pairs(customers.groupBy("segment").count(), "segment", "count") == {

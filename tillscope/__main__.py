@@ -1,8 +1,8 @@
 """Load the standard data set, then run reports on it, from the command line.
 
-    spark-submit -m tillscope load ROOT [--customers N] [--orders N]
-    spark-submit -m tillscope run ROOT NAME... --as-of YYYY-MM-DD [--out DIR]
-    spark-submit -m tillscope list
+    python -m tillscope load ROOT [--customers N] [--orders N]
+    python -m tillscope run ROOT NAME... --as-of YYYY-MM-DD [--out DIR]
+    python -m tillscope list
 """
 
 from __future__ import annotations
