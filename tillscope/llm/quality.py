@@ -219,7 +219,13 @@ def _measured(
         F.to_json(F.array(*[F.col(g).cast("string") for g in groups[:1]])).alias("wide"),
     )
     counted = with_counts(frame, "_text").withColumn("base_failed", failed)
-    return counted.select("*", *[x.alias(f"x{i}") for i, x in enumerate(_statistics())])
+    # With a row number, which the verdict asks for, Spark doesn't move a filter by the verdict
+    # below the counts and thereby compute them twice.
+    return counted.select(
+        "*",
+        *[x.alias(f"x{i}") for i, x in enumerate(_statistics())],
+        F.monotonically_increasing_id().alias("at"),
+    )
 
 
 def estimates(
@@ -313,5 +319,5 @@ def judge(
         *COUNTS,
         "base_failed",
         F.when(~F.col("base_failed"), F.col("d2")).alias("distance"),
-        (~F.col("base_failed") & near).alias("kept"),
+        (~F.col("base_failed") & near & (F.col("at") >= 0)).alias("kept"),
     )
