@@ -154,10 +154,13 @@ def recurring_lines(
             F.max("doc").alias("high"),
         )
     )
-    shared = settled(
-        distinct.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1")
-    )
+    # A leaf whose lines occur once in all holds no recurring template.
+    leaves = distinct.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("total"))
+    leaves = leaves.where(F.col("total") >= min(recurs)).select("leaf", "lines")
+    distinct = settled(distinct.join(leaves, "leaf"))
+    shared = settled(distinct.where("lines > 1").select("leaf", "lines").distinct())
     shared = F.broadcast(shared) if shared.count() <= LISTED else shared
+    distinct = distinct.drop("lines")
     found = (
         _tokens(documents, text, least_tokens, depth)
         .join(shared, "leaf")
@@ -235,7 +238,7 @@ def drop_recurring(
     lines, recurring = recurring_lines(
         documents, doc_id, text, depth, similarity, least_tokens, short, recurs
     )
-    dropped = (
+    dropped = settled(
         lines.select("line", "doc", "at")
         .join(recurring, "line")
         .where("doc <> keeper")
