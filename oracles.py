@@ -57,7 +57,7 @@ header AS (
          CAST(date_trunc('month', o_orderdate) AS DATE) AS sales_month,
          o_orderpriority AS payment_method,
          CASE o_orderstatus WHEN 'F' THEN 'Delivered' WHEN 'O' THEN 'Shipped'
-              ELSE 'Cancelled' END AS status
+              WHEN 'P' THEN 'Cancelled' ELSE o_orderstatus END AS status
   FROM orders),
 good_header AS (SELECT * FROM header WHERE status <> 'Cancelled'),
 cust AS (
@@ -546,6 +546,8 @@ FROM means s, means t WHERE s.segment = 'BUILDING' AND t.segment = 'MACHINERY'""
         "g7_row_counts": f"""
 SELECT * FROM ({_COUNTS})
 UNION ALL SELECT '--- TOTAL ---', CAST(SUM(rows) AS BIGINT) FROM ({_COUNTS})""",
+        "g8_adapt_regions": """SELECT CAST(r_regionkey AS BIGINT) AS region_id,
+       r_name AS region_name, 'United States' AS country FROM region""",
         "g8_adapt_categories": "SELECT * FROM cat",
         "g8_adapt_customers": """
 SELECT customer_id, first_name, last_name, email, CAST(NULL AS VARCHAR) AS phone, region_id,

@@ -23,7 +23,9 @@ class FakeContext:
 class FakeSession:
     def __init__(self, master, configured=None):
         self.sparkContext = FakeContext(master)
-        self.conf = {"spark.checkpoint.dir": configured} if configured else {}  # has get()
+        self.conf = {"spark.sql.warehouse.dir": "hdfs:///warehouse/"}  # has get()
+        if configured:
+            self.conf["spark.checkpoint.dir"] = configured
 
 
 def test_the_configured_folder_wins():
@@ -32,15 +34,11 @@ def test_the_configured_folder_wins():
     assert fake.sparkContext.folder == "hdfs:///shared"
 
 
-def test_a_cluster_without_a_shared_folder_is_an_error():
-    with pytest.raises(RuntimeError):
-        session._ensure_checkpoint_dir(FakeSession("spark://host:7077"))
-
-
-def test_local_mode_makes_its_own_folder():
-    fake = FakeSession("local[4]")
+@pytest.mark.parametrize("master", ["local[4]", "spark://host:7077"])
+def test_without_a_folder_the_warehouse_has_one(master):
+    fake = FakeSession(master)
     session._ensure_checkpoint_dir(fake)
-    assert "tillscope-checkpoint-" in fake.sparkContext.folder
+    assert fake.sparkContext.folder == "hdfs:///warehouse/_checkpoints"
 
 
 def test_durable_rows_have_no_lineage(spark):

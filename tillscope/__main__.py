@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import argparse
 from datetime import date
+from inspect import signature
 
 from pyspark.sql import SparkSession
 
 from tillscope.catalog import OPERATORS, run
 from tillscope.operators.counts import g7_row_counts
-from tillscope.session import prepare
+from tillscope.session import durable, prepare
 from tillscope.sources.generate import CUSTOMERS, ORDERS, gen_model
 from tillscope.sources.tables import read_tables, write_tables
 
@@ -30,7 +31,7 @@ def _arguments(words: list[str] | None) -> argparse.Namespace:
     report.add_argument("root")
     report.add_argument("names", nargs="+", choices=OPERATORS, metavar="NAME")
     report.add_argument("--as-of", type=date.fromisoformat, required=True)
-    report.add_argument("--out", help="write Parquet here instead of printing the first rows")
+    report.add_argument("--out", help="write Parquet here instead of printing every row")
     commands.add_parser("list", help="list the reports")
     return parser.parse_args(words)
 
@@ -46,13 +47,17 @@ def main(words: list[str] | None = None) -> None:
         g7_row_counts(read_tables(spark, arguments.root)).show()
         return
     model = read_tables(spark, arguments.root)
+    listings = [n for n in arguments.names if "ordered" in signature(OPERATORS[n]).parameters]
+    if listings and not arguments.out:
+        raise SystemExit(f"as large as the tables, so --out is needed: {', '.join(listings)}")
     for name in arguments.names:
         if arguments.out:
             frame = run(model, name, as_of=arguments.as_of)
             frame.write.mode("overwrite").parquet(f"{arguments.out}/{name}")
         else:
             print(name)
-            run(model, name, as_of=arguments.as_of, ordered=True).show(truncate=False)
+            report = durable(run(model, name, as_of=arguments.as_of))
+            report.show(max(1, report.count()), truncate=False)
 
 
 if __name__ == "__main__":

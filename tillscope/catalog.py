@@ -72,11 +72,16 @@ OPERATORS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in _FUNCTI
 
 
 def run(model: RetailModel, name: str, **parameters) -> DataFrame:
-    """Run an operator; parameters it does not have are left out.
+    """Run an operator; parameters that only other operators have are left out.
 
     So a list of operators can be run with one set of parameters, such as
-    ``as_of`` and ``ordered``.
+    ``as_of`` and ``ordered``. A parameter that no operator has is an error.
     """
     operator = OPERATORS[name]
+    unknown = set(parameters) - {
+        key for function in _FUNCTIONS for key in inspect.signature(function).parameters
+    }
+    if unknown:
+        raise TypeError(f"no operator has the parameters {sorted(unknown)}")
     known = inspect.signature(operator).parameters
     return operator(model, **{key: value for key, value in parameters.items() if key in known})

@@ -86,8 +86,8 @@ def amount(name: str) -> Column:
 
 
 def rounded_div(numerator: Column, denominator: Column) -> Column:
-    """Integer quotient, rounded half away from zero, for a positive denominator."""
-    half = F.when(numerator < 0, -denominator).otherwise(denominator)
+    """Integer quotient, rounded half away from zero; NULL for a NULL denominator."""
+    half = F.when((numerator < 0) != (denominator < 0), -denominator).otherwise(denominator)
     return F.call_function("div", numerator * 2 + half, denominator * 2)
 
 

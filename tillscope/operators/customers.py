@@ -6,7 +6,6 @@ from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillscope.functions.measures import (
@@ -127,10 +126,17 @@ def c3_customer_lifetime_value(
 
 
 def spend_quartiles(model: RetailModel) -> DataFrame:
-    """customer_id, total_spend in cents, spend_quartile 1..4 (4 = highest)."""
+    """customer_id, total_spend in cents, spend_quartile 1..4 (4 = highest).
+
+    Customers that don't exist, or whose region doesn't, take no place in a tile.
+    """
     spend = customer_sales(model, Sales.VALID).select(
         "customer_id", money("net").alias("total_spend")
     )
+    placed = model.customers.select("customer_id", "region_id").join(
+        model.regions.select("region_id"), "region_id", "left_semi"
+    )
+    spend = spend.join(placed, "customer_id", "left_semi")
     return with_ntile(spend, 4, [F.asc("total_spend"), F.asc("customer_id")], "spend_quartile")
 
 
@@ -186,18 +192,15 @@ def e1_top_customers_correlated(
 def e1_top_customers_preagg(
     model: RetailModel, k: int = 10, rounded: bool = True, sales: Sales = Sales.DELIVERED
 ) -> DataFrame:
-    """Top buying customers by delivered gross: rank the totals, then look up k names.
+    """Top buying customers by delivered gross, from totals per customer.
 
-    Every order's customer exists (a declared reference), so taking the top k
-    before the lookup is the same as after it, and the customer table is only
-    scanned against k keys instead of being shuffled.
+    Totals of customers that don't exist are left out before the k best are taken.
     """
-    best = customer_sales(model, sales).select("customer_id", "gross")
-    best = best.orderBy(F.desc("gross"), "customer_id").limit(k)
+    totals = customer_sales(model, sales).select("customer_id", "gross")
     total = money("gross") if rounded else F.col("gross")
     return (
         model.named_customers.select("customer_id", "customer_name")
-        .join(best, "customer_id")
+        .join(totals, "customer_id")
         .orderBy(F.desc("gross"), "customer_id")
         .limit(k)
         .select("customer_id", "customer_name", total.alias("total_spend"))
@@ -207,15 +210,18 @@ def e1_top_customers_preagg(
 def f2_cohort_retention(model: RetailModel, months: int = 12) -> DataFrame:
     """Active customers per cohort month and whole months since the first order.
 
-    Orders are folded to one row per customer and month first. The cohort is
-    then a minimum over at most as many rows as the history has months, and
-    the distinct customers are a plain count.
+    Orders are folded to each customer's set of months, which the length of the
+    history bounds; the cohort is its least, and the distinct customers are a
+    plain count. The only exchange at customer grain is that of the sets.
     """
     activity = (
         model.kept_orders(Sales.VALID)
-        .groupBy("customer_id", month_of("order_date").alias("activity_month"))
-        .agg(F.lit(1).alias("active"))
-        .withColumn("cohort_month", F.min("activity_month").over(W.partitionBy("customer_id")))
+        .groupBy("customer_id")
+        .agg(F.collect_set(month_of("order_date")).alias("months"))
+        .select(
+            F.array_min("months").alias("cohort_month"),
+            F.explode("months").alias("activity_month"),
+        )
     )
     offset = month_number("activity_month") - month_number("cohort_month")
     return (
@@ -233,10 +239,9 @@ def vc3_clv_ntile(model: RetailModel, k: int = 10) -> DataFrame:
         "customer_id", "orders", F.col("net").alias("lifetime_value")
     )
     tiled = with_ntile(value, 4, [F.asc("lifetime_value"), F.asc("customer_id")], "quartile")
-    best = tiled.orderBy(F.desc("lifetime_value"), "customer_id").limit(k)
     return (
         model.named_customers.select("customer_id", "customer_name")
-        .join(best, "customer_id")
+        .join(tiled, "customer_id")
         .orderBy(F.desc("lifetime_value"), "customer_id")
         .limit(k)
         .select(

@@ -16,10 +16,10 @@ from tillscope.plans.frames import listed
 
 
 def va1_order_listing(model: RetailModel, ordered: bool = False) -> DataFrame:
-    """Seven columns of the order detail; ``ordered`` sorts by date alone."""
+    """Seven columns of the order detail; ``ordered`` sorts by date, then by order."""
     detail = a1_order_details(model)
     if ordered:
-        detail = detail.orderBy(F.desc("order_date"))
+        detail = detail.orderBy(F.desc("order_date"), "order_id")
     return detail.select(
         "order_id",
         "customer_name",

@@ -3,39 +3,57 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tillscope.model import RetailModel
 from tillscope.session import durable
 
-_TREE = """
-WITH RECURSIVE tree AS (
-    SELECT category_id, category_name, is_active, 0L AS depth,
-           category_name AS full_path, array(category_id) AS id_path
-    FROM {categories}
-    WHERE parent_id IS NULL
-    UNION ALL
-    SELECT child.category_id, child.category_name, child.is_active, tree.depth + 1L,
-           concat(tree.full_path, ' > ', child.category_name),
-           array_append(tree.id_path, child.category_id)
-    FROM {categories} AS child
-    JOIN tree ON child.parent_id = tree.category_id
-    WHERE NOT array_contains(tree.id_path, child.category_id)
-)
-SELECT category_id,
-       concat(repeat('    ', CAST(depth AS INT)), category_name) AS indented_name,
-       depth, full_path, is_active
-FROM tree
-ORDER BY id_path
-"""
-
 
 def c2_category_tree(model: RetailModel) -> DataFrame:
     """Depth-first listing of all categories below a root, with depth and path.
 
-    The categories are materialised first: every level of the recursion reads
-    them again. A category already on its own path is not entered again, so a repeated id
-    cannot loop. Spark stops with an error, not with a shortened result, beyond
-    ``spark.sql.cteRecursionLevelLimit`` levels or ``...RowLimit`` rows.
+    Each level is joined with its children until no row is added, however deep the
+    tree is and however many rows it has. A category already on its own path is not
+    entered again, so a repeated id cannot loop.
     """
-    spark = model.categories.sparkSession
-    return spark.sql(_TREE, categories=durable(model.categories))
+    categories = durable(
+        model.categories.select("category_id", "category_name", "is_active", "parent_id")
+    )
+    child = categories.select(
+        F.col("parent_id").alias("above"),
+        *[F.col(c).alias(f"child_{c}") for c in ("category_id", "category_name", "is_active")],
+    )
+    level = durable(
+        categories.filter("parent_id IS NULL").select(
+            "category_id",
+            "category_name",
+            "is_active",
+            F.lit(0).cast("bigint").alias("depth"),
+            F.col("category_name").alias("full_path"),
+            F.array("category_id").alias("id_path"),
+        )
+    )
+    tree = level
+    while not level.isEmpty():
+        level = durable(
+            level.join(child, F.col("above") == F.col("category_id"))
+            .filter(~F.array_contains("id_path", F.col("child_category_id")))
+            .select(
+                F.col("child_category_id").alias("category_id"),
+                F.col("child_category_name").alias("category_name"),
+                F.col("child_is_active").alias("is_active"),
+                (F.col("depth") + 1).alias("depth"),
+                F.concat("full_path", F.lit(" > "), "child_category_name").alias("full_path"),
+                F.array_append("id_path", F.col("child_category_id")).alias("id_path"),
+            )
+        )
+        tree = tree.unionByName(level)
+    return tree.orderBy("id_path").select(
+        "category_id",
+        F.concat(F.repeat(F.lit("    "), F.col("depth").cast("int")), "category_name").alias(
+            "indented_name"
+        ),
+        "depth",
+        "full_path",
+        "is_active",
+    )

@@ -36,9 +36,8 @@ def _all() -> WindowSpec:
 
 def i1_top_products(model: RetailModel, k: int = 5) -> DataFrame:
     """Best products by net revenue of valid sales, with units and catalogue margin."""
-    best = product_sales(model).orderBy(F.desc("net"), "product_id").limit(k)
     return (
-        model.catalogue.join(best, "product_id")
+        model.catalogue.join(product_sales(model), "product_id")
         .orderBy(F.desc("net"), "product_id")
         .limit(k)
         .select(
@@ -53,9 +52,13 @@ def i1_top_products(model: RetailModel, k: int = 5) -> DataFrame:
 
 
 def i2_region_year(model: RetailModel) -> DataFrame:
-    """Net revenue per region and year, its share of the year, growth on the row before."""
+    """Net revenue per region and year, its share of the year, growth on the year before."""
     year = W.partitionBy("sales_year")
     history = W.partitionBy("region_name").orderBy("sales_year")
+    year_before = F.when(
+        F.lag("sales_year").over(history) == F.col("sales_year") - 1,
+        F.lag("net_revenue").over(history),
+    )
     return (
         region_month_sales(model)
         .groupBy("region_name", F.year("sales_month").cast("bigint").alias("sales_year"))
@@ -65,7 +68,7 @@ def i2_region_year(model: RetailModel) -> DataFrame:
             "sales_year",
             "net_revenue",
             share_pct("net_revenue", F.sum("net_revenue").over(year)).alias("pct_of_year"),
-            growth_pct("net_revenue", F.lag("net_revenue").over(history), 1).alias("yoy_pct"),
+            growth_pct("net_revenue", year_before, 1).alias("yoy_pct"),
         )
         .transform(listed, "region_name", "sales_year")
     )

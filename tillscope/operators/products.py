@@ -17,7 +17,7 @@ from tillscope.functions.measures import (
 )
 from tillscope.functions.ordering import with_rank
 from tillscope.model import RetailModel
-from tillscope.plans.frames import sold_lines
+from tillscope.plans.frames import listed, sold_lines
 
 
 def d1_top_products_by_region(model: RetailModel, k: int = 3) -> DataFrame:
@@ -26,9 +26,11 @@ def d1_top_products_by_region(model: RetailModel, k: int = 3) -> DataFrame:
     The rank filter is applied inside every task before the exchange on region
     (Spark's group limit), so a region's ranking task sees only candidates.
     """
-    placed = model.kept_orders(Sales.VALID).join(
-        model.customers.select("customer_id", "region_id"), "customer_id"
+    # What has no product or region is no candidate for a rank.
+    homes = model.customers.select("customer_id", "region_id").join(
+        model.regions.select("region_id"), "region_id", "left_semi"
     )
+    placed = model.kept_orders(Sales.VALID).join(homes, "customer_id")
     sales = (
         model.lines.select("order_id", "product_id", "net_micros")
         .join(placed.select("order_id", "region_id"), "order_id")
@@ -36,6 +38,7 @@ def d1_top_products_by_region(model: RetailModel, k: int = 3) -> DataFrame:
         .agg(*line_sums("net"))
         .select("region_id", "product_id", money(amount("net")).alias("net_revenue"))
     )
+    sales = sales.join(model.catalogue.select("product_id"), "product_id", "left_semi")
     by_revenue = W.partitionBy("region_id").orderBy(F.desc("net_revenue"))
     best = sales.withColumn("region_rank", F.dense_rank().over(by_revenue)).filter(
         F.col("region_rank") <= k
@@ -46,7 +49,7 @@ def d1_top_products_by_region(model: RetailModel, k: int = 3) -> DataFrame:
         )
         .join(model.regions.select("region_id", "region_name"), "region_id")
         .select("region_name", "region_rank", "product_name", "category_name", "net_revenue")
-        .orderBy("region_name", "region_rank", "product_name")
+        .transform(listed, "region_name", "region_rank", "product_name")
     )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings only; memory, cores and shuffle partitions stay with the
@@ -23,7 +21,10 @@ SETTINGS = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set what the operators rely on: checked arithmetic and adaptive joins."""
+    """Set what the operators rely on: checked arithmetic and adaptive joins.
+
+    The settings hold for the whole session, later queries of the caller included.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
@@ -34,18 +35,16 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="tillscope-checkpoint-")
-    context.setCheckpointDir(shared)
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    context.setCheckpointDir(shared or f"{warehouse}/_checkpoints")
 
 
 def durable(frame: DataFrame) -> DataFrame:
     """Materialise ``frame`` on reliable storage and cut its lineage.
 
     Used where a later step needs the very same rows and row numbers twice, so
-    that a lost executor re-reads them instead of computing other ones.
+    that a lost executor re-reads them instead of computing other ones. The
+    folder is spark.checkpoint.dir, else one in the session's warehouse.
     """
     _ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)

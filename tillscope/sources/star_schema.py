@@ -92,7 +92,7 @@ def _customers(customer: DataFrame, nation: DataFrame) -> DataFrame:
         F.col("n_regionkey").cast("bigint").alias("region_id"),
     )
     joined_after = (F.col("c_custkey") % 1826).cast("int")
-    return customer.join(homes, "c_nationkey").select(
+    return customer.join(homes, "c_nationkey", "left").select(
         F.col("c_custkey").alias("customer_id"),
         F.substring_index("c_name", "#", 1).alias("first_name"),
         F.substring_index("c_name", "#", -1).alias("last_name"),
@@ -124,8 +124,11 @@ def _products(part: DataFrame, *more: Column) -> DataFrame:
 
 def _orders(orders: DataFrame) -> DataFrame:
     source = F.col("o_orderstatus")
-    status = (
-        F.when(source == "F", "Delivered").when(source == "O", "Shipped").otherwise("Cancelled")
+    status = (  # a code that isn't known stays, for the rules to see
+        F.when(source == "F", "Delivered")
+        .when(source == "O", "Shipped")
+        .when(source == "P", "Cancelled")
+        .otherwise(source)
     )
     return orders.select(
         F.col("o_orderkey").alias("order_id"),
@@ -152,14 +155,14 @@ def _order_items(lineitem: DataFrame) -> DataFrame:
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("product_id"),
         quantity.alias("quantity"),
-        from_cents(rounded_div(cents, quantity)).alias("unit_price"),
+        from_cents(rounded_div(cents, F.nullif(quantity, F.lit(0)))).alias("unit_price"),
         from_cents(basis_points).cast("decimal(5,2)").alias("discount_pct"),
         (cents * 10_000).alias("gross_micros"),
         (cents * (10_000 - basis_points)).alias("net_micros"),
     )
 
 
-# Source codes of the states that an analysis counts; any other code is a cancelled order.
+# Source codes of the states that an analysis counts.
 _COUNTED = {Sales.VALID: ("F", "O"), Sales.DELIVERED: ("F",)}
 
 
