@@ -172,7 +172,7 @@ def predict(frame: DataFrame, model: dict, text: str = "text") -> DataFrame:
     rows stay; columns of the two names are replaced; an empty table gives an empty one.
     """
     labels = list(model["prototypes"])
-    matrix = np.array([model["prototypes"][k] for k in labels]).reshape(len(labels), -1)
+    matrix = np.array([model["prototypes"][k] for k in labels]).reshape(len(labels), model["dimensions"])
     settings = model["dimensions"], model["n"], model["seed"]
 
     def nearest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
