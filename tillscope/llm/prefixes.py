@@ -48,35 +48,43 @@ class PrefixCounter:
         moved = iter(c for c in order if ord(c) >= 0x100)
         alphabet = {ord(c): c for c in plain}
         self.alphabet = {b: alphabet.get(b) or next(moved) for b in range(256)}
-        self.neighbours = Memo(self.fit)
+        self.neighbours = Memo(self.fit, most=500_000)
         self.known: dict[str, tuple[int, str]] = {}
-        self.total_of = Memo(lambda piece: int(self.prefixes(piece)[-1]))
+        self.total_of = Memo(lambda piece: self.states(piece)[0][-1], most=700_000)
 
     def mapped(self, text: str) -> str:
         return text if text.isascii() and text.isalnum() else text.encode().decode("latin-1").translate(self.alphabet)
 
     def fit(self, pair: tuple[str, str]) -> bool:
-        return [t.value for t in self.model.tokenize(pair[0] + pair[1])] == [x for x in pair if x]
+        first, second = pair
+        found = self.model.tokenize(first + second)
+        return len(found) == 1 + bool(first) and found[-1].value == second
 
     def prefixes(self, piece: str) -> np.ndarray:
         """Token counts of the piece's prefixes of 0, 1, ... bytes."""
+        return np.array(self.states(piece)[0])
+
+    def states(self, piece: str) -> tuple[list[int], list[str]]:
+        """For the piece's prefixes of 0, 1, ... bytes the token counts and the last tokens."""
         text, known = self.mapped(piece), self.known
-        if len(known) > 200_000:
+        tokens, neighbours = self.tokens, self.neighbours
+        if len(known) > 500_000:
             known.clear()
         counts, last = [0], [""]
         for end in range(1, len(text) + 1):
-            state = known.get(text[:end]) if end <= 24 else None
+            prefix = text[:end] if end <= 24 else ""
+            state = known.get(prefix)
             if state is None:
                 for start in range(max(0, end - self.longest), end):
                     token = text[start:end]
-                    if token in self.tokens and self.neighbours[last[start], token]:
+                    if token in tokens and neighbours[last[start], token]:
                         state = counts[start] + 1, token
                         break
-                if end <= 24:
-                    known[text[:end]] = state
+                if prefix:
+                    known[prefix] = state
             counts.append(state[0])
             last.append(state[1])
-        return np.array(counts)
+        return counts, last
 
     def segments(self, text: str) -> Iterator[tuple[int, int, bool]]:
         """(start, end, whether it is a special string), in order, over the whole text."""
