@@ -36,14 +36,22 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of near duplicates, the document with the smallest doc_id.
+    """Keeps one document of each group of near duplicates: the one with the smallest doc_id.
 
-    A document without doc_id stays if its group has no other; rows with the same doc_id are one.
+    A document without doc_id comes after all others, so it stays only if it is the group's choice.
+    Rows of a group with the same doc_id and the same text are one; rows of different groups that
+    happen to share a doc_id all stay.
     """
-    groups = simhash.near_duplicates(docs, shingle=3, distance=3)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    place = F.struct(
+        F.col("doc_id").isNull().alias("unnamed"),
+        F.coalesce("doc_id", F.lit(0)).alias("id"),
+        F.xxhash64("text").alias("digest"),
+    ).alias("place")
+    groups = simhash.near_duplicates(docs, shingle=3, distance=3, carried=[place])
+    first = groups.groupBy("component").agg(F.min("place").alias("place")).select("place").distinct()
+    names = [f"`{c}`" for c in docs.columns]
+    placed = docs.select(place, F.struct(*names).alias("row")).join(first, "place", "left_semi")
+    return placed.dropDuplicates(["place"]).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

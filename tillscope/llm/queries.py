@@ -44,7 +44,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, distance=3)
+    documents = _table(spark, sf_dir, "documents")
+    found = simhash.near_duplicates(documents, shingle=3, distance=3)
+    return found.select("doc_id", "fingerprint", "component_id")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -43,8 +43,10 @@ def majority(hashes: list[list[int]]) -> np.ndarray:
     return np.packbits(2 * counts > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def fingerprints(documents: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row as a signed 64-bit integer."""
+def fingerprints(
+    documents: DataFrame, shingle: int, doc_id: str, text: str, carried: Sequence[Column] = ()
+) -> DataFrame:
+    """(doc_id, fp, ...): the fingerprint of each row as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
@@ -60,7 +62,9 @@ def fingerprints(documents: DataFrame, shingle: int, doc_id: str, text: str) ->
             yield pa.array(np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64))
 
     fingerprint = F.arrow_udf(run, "bigint", F.ArrowUDFType.SCALAR_ITER)
-    return documents.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp"))
+    own = fingerprint(F.col(text)).alias("fp")
+    more = [F.struct(*carried).alias("carried")] if carried else []
+    return documents.select(F.col(doc_id).alias("doc_id"), own, *more)
 
 
 def signed(mask: int) -> int:
@@ -167,11 +171,13 @@ def near_duplicates(
     distance: int = 3,
     doc_id: str = "doc_id",
     text: str = "text",
+    carried: Sequence[Column] = (),
 ) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of `documents`.
+    """(doc_id, fingerprint, component_id, component, ...) for every row of `documents`.
 
     Two documents are linked if their fingerprints differ in at most `distance` (0 to 7) of 64
-    bits; component_id is the smallest doc_id that links reach, the document's own included. Null
+    bits; component_id is the smallest doc_id that links reach, the document's own included, and
+    component one of the group's fingerprints. `carried` are further columns to return. Null
     text counts as empty: without words the fingerprint is zero, linked like any other. A null
     doc_id stays null and is never a component_id unless all of a component's are null. Repeated
     rows give repeated results; other columns are not looked at; an empty table gives an empty one.
@@ -181,14 +187,22 @@ def near_duplicates(
     """
     if not 0 <= distance < BYTES:
         raise ValueError("distance is 0 to 7 bits")
-    rows = settled(fingerprints(documents, shingle, doc_id, text))
+    rows = settled(fingerprints(documents, shingle, doc_id, text, carried))
     prints = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(prints.select("fp"), distance)).withColumnRenamed("node", "fp")
     rooted = prints.join(roots, "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "component_id", "root")
+
+    def digits(fingerprint: str) -> Column:
+        return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
+
     return rows.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id",
+        digits("fp").alias("fingerprint"),
+        "component_id",
+        digits("root").alias("component"),
+        *(["carried.*"] if carried else []),
     )
