@@ -259,7 +259,7 @@ _KEYS = (
     ("customers", "customer_id", "SELECT customer_id AS k FROM cust"),
     ("products", "product_id", "SELECT product_id AS k FROM prod"),
     ("orders", "order_id", "SELECT order_id AS k FROM header"),
-    ("order_items", "order_item_id", "SELECT order_id * 8 + line_no AS k FROM sale_line"),
+    ("order_items", "order_item_id", "SELECT order_id || '-' || line_no AS k FROM sale_line"),
 )
 _UNIQUE = (
     ("regions", "region_name", "SELECT r_name AS k FROM region"),
@@ -306,7 +306,7 @@ _REQUIRED = {
         "order_id": "order_id", "customer_id": "customer_id", "order_date": "order_date",
         "status": "status", "payment_method": "payment_method", "discount_pct": "0"}),
     "order_items": ("sale_line", {
-        "order_item_id": "order_id * 8 + line_no", "order_id": "order_id",
+        "order_item_id": "order_id + line_no", "order_id": "order_id",
         "product_id": "product_id", "quantity": "qty", "unit_price": "gross_c / qty",
         "discount_pct": "pct"}),
 }
@@ -559,7 +559,7 @@ SELECT product_id, product_name, category_id, {as_money("cost_c")} AS unit_cost,
 SELECT order_id, customer_id, order_date, CAST(NULL AS DATE) AS shipped_date, status,
        payment_method, CAST(0 AS DOUBLE) AS discount_pct FROM header""",
         "g8_adapt_order_items": f"""
-SELECT order_id * 8 + line_no AS order_item_id, order_id, product_id, qty AS quantity,
+SELECT CAST(CAST(order_id AS HUGEINT) * 4294967296 + line_no AS DOUBLE) AS order_item_id, order_id, product_id, qty AS quantity,
        {rounded("gross_c", "100 * qty", 2)} AS unit_price, CAST(pct AS DOUBLE) AS discount_pct,
        gross_c * 10000 AS gross_micros, net_u * 100 AS net_micros
 FROM sale_line""",

@@ -3,6 +3,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conftest import HAND, build_model
@@ -10,6 +11,7 @@ from tillscope.model import RetailModel
 from tillscope.operators import quality
 from tillscope.schema import SCHEMAS
 from tillscope.sources.defaults import with_defaults
+from tillscope.sources.star_schema import _order_items
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +103,15 @@ def test_empty_tables_have_no_violations(spark):
     for row in quality.q_fk(empty).collect():
         assert tuple(row)[3:] == (0, 0)
     assert {row.null_rows for row in quality.q_nn(empty).collect()} == {0}
+
+
+def test_line_ids_of_long_orders_do_not_collide(spark):
+    lines = spark.range(27).select(
+        (F.col("id") % 3).alias("l_orderkey"),
+        F.lit(1).cast("bigint").alias("l_partkey"),
+        F.col("id").cast("int").alias("l_linenumber"),
+        F.lit(1.0).alias("l_quantity"),
+        F.lit(2.5).alias("l_extendedprice"),
+        F.lit(0.0).alias("l_discount"),
+    )
+    assert _order_items(lines).select("order_item_id").distinct().count() == 27

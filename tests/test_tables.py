@@ -3,13 +3,13 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from tillscope.catalog import OPERATORS, run
 from tillscope.functions.measures import Sales
 from tillscope.operators.joins import a3_segment_revenue
 from tillscope.operators.trends import e2_monthly_gross, e2_monthly_gross_preproject
 from tillscope.schema import SCHEMAS, TABLES
-from tillscope.sources import tables
 from tillscope.sources.star_schema import AS_OF, STORED_SCHEMAS, StarSchema
 from tillscope.sources.tables import (
     open_tables,
@@ -76,10 +76,16 @@ def test_buckets_save_the_exchanges_on_order_id(spark, bucketed):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_buckets_are_refused_for_an_oversized_order(standard, monkeypatch):
-    monkeypatch.setattr(tables, "_SMALL_BUCKET", 2)
-    with pytest.raises(ValueError, match="one order holds 4 of 28950 lines"):
-        save_bucketed(standard, "retail", buckets=28950)
+def test_an_oversized_order_is_one_row_of_a_bucket(spark, standard):
+    lines = standard.order_items
+    hot = lines.withColumn("order_id", F.when(F.col("order_id") % 3 == 0, 3).otherwise(F.col("order_id")))
+    heavy = standard.with_tables(order_items=hot)
+    spark.sql("CREATE DATABASE IF NOT EXISTS retail_hot")
+    save_bucketed(heavy, "retail_hot", buckets=4)
+    opened = open_tables(spark, "retail_hot")
+    assert opened.order_items.count() == lines.count()
+    assert opened.order_totals.filter("order_id = 3").count() == 1
+    assert a3_segment_revenue(opened).collect() == a3_segment_revenue(heavy).collect()
 
 
 def test_stored_totals_replace_the_lines(stored, tmp_path):

@@ -169,11 +169,16 @@ def d4_spend_quartiles(model: RetailModel, ordered: bool = False) -> DataFrame:
 
 
 def e1_top_customers_correlated(
-    model: RetailModel, k: int = 10, nulls: str = "last", sales: Sales = Sales.DELIVERED
+    model: RetailModel,
+    k: int = 10,
+    nulls: str = "last",
+    sales: Sales = Sales.DELIVERED,
+    shown: str = "customer_name",
 ) -> DataFrame:
     """Top customers by unrounded delivered gross, non-buyers included as NULL.
 
-    ``nulls='first'`` lists the customers without delivered orders on top.
+    ``nulls='first'`` lists the customers without delivered orders on top;
+    ``shown`` is the column that names a customer.
     """
     spend = customer_sales(model, sales).select(
         "customer_id", F.col("gross").alias("total_spend")
@@ -182,7 +187,7 @@ def e1_top_customers_correlated(
         "total_spend"
     )
     return (
-        model.named_customers.select("customer_id", "customer_name")
+        model.named_customers.select("customer_id", shown)
         .join(spend, "customer_id", "left")
         .orderBy(by_spend, "customer_id")
         .limit(k)
@@ -190,7 +195,11 @@ def e1_top_customers_correlated(
 
 
 def e1_top_customers_preagg(
-    model: RetailModel, k: int = 10, rounded: bool = True, sales: Sales = Sales.DELIVERED
+    model: RetailModel,
+    k: int = 10,
+    rounded: bool = True,
+    sales: Sales = Sales.DELIVERED,
+    shown: str = "customer_name",
 ) -> DataFrame:
     """Top buying customers by delivered gross, from totals per customer.
 
@@ -199,11 +208,11 @@ def e1_top_customers_preagg(
     totals = customer_sales(model, sales).select("customer_id", "gross")
     total = money("gross") if rounded else F.col("gross")
     return (
-        model.named_customers.select("customer_id", "customer_name")
+        model.named_customers.select("customer_id", shown)
         .join(totals, "customer_id")
         .orderBy(F.desc("gross"), "customer_id")
         .limit(k)
-        .select("customer_id", "customer_name", total.alias("total_spend"))
+        .select("customer_id", shown, total.alias("total_spend"))
     )
 
 

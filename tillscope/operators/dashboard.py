@@ -79,24 +79,12 @@ def vd2_growth_direction(model: RetailModel) -> DataFrame:
 
 def ve1_top_customers_nulls_first(model: RetailModel, k: int = 10) -> DataFrame:
     """Top customers with the customers that have no delivered order on top."""
-    top = e1_top_customers_correlated(model, k, nulls="first").select("customer_id", "total_spend")
-    return _with_first_name(model, top, k)
+    return e1_top_customers_correlated(model, k, nulls="first", shown="first_name")
 
 
 def ve1_top_customers_unrounded(model: RetailModel, k: int = 10) -> DataFrame:
     """Top buying customers with their unrounded total."""
-    top = e1_top_customers_preagg(model, k, rounded=False).select("customer_id", "total_spend")
-    return _with_first_name(model, top, k)
-
-
-def _with_first_name(model: RetailModel, top: DataFrame, k: int) -> DataFrame:
-    return (
-        model.customers.select("customer_id", "first_name")
-        .join(top, "customer_id")
-        .select("customer_id", "first_name", "total_spend")
-        .orderBy(F.desc_nulls_first("total_spend"), "customer_id")
-        .limit(k)
-    )
+    return e1_top_customers_preagg(model, k, rounded=False, shown="first_name")
 
 
 def vst_stat_strip(model: RetailModel) -> DataFrame:

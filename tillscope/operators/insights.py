@@ -27,10 +27,11 @@ from tillscope.plans.frames import (
     product_sales,
     region_month_sales,
 )
+from tillscope.session import durable
 
 
 def _all() -> WindowSpec:
-    """Every row; used on report rows only: segments, quartiles, categories."""
+    """Every row; used on report rows only: segments and quartiles."""
     return W.partitionBy()
 
 
@@ -153,7 +154,8 @@ def i6_peak_trough_month(model: RetailModel) -> DataFrame:
 def i7_leaf_underperformers(model: RetailModel) -> DataFrame:
     """Categories without children that sell less than the mean such category.
 
-    A leaf without sales counts as zero, in the mean and in the list.
+    A leaf without sales counts as zero, in the mean and in the list. The leaves'
+    revenue is written once, for their mean and for the list. Runs a job when called.
     """
     parents = model.categories.select(F.col("parent_id").alias("category_id"))
     leaves = model.categories.join(parents, "category_id", "left_anti")
@@ -164,15 +166,18 @@ def i7_leaf_underperformers(model: RetailModel) -> DataFrame:
         .agg(*carried_sums("net"))
         .withColumn("net", amount("net"))
     )
-    scored = leaves.join(revenue, "category_id", "left").select(
-        "category_id",
-        "category_name",
-        "is_active",
-        money(F.coalesce("net", F.lit(0))).alias("net_revenue"),
-    )
-    scored = scored.withColumns(
-        {"total": F.sum("net_revenue").over(_all()), "leaves": F.count("*").over(_all())}
+    scored = durable(
+        leaves.join(revenue, "category_id", "left").select(
+            "category_id",
+            "category_name",
+            "is_active",
+            money(F.coalesce("net", F.lit(0))).alias("net_revenue"),
+        )
     )
+    whole = scored.agg(
+        F.struct(F.sum("net_revenue").alias("total"), F.count("*").alias("leaves"))
+    ).scalar()
+    scored = scored.withColumns({"total": whole["total"], "leaves": whole["leaves"]})
     gap = F.col("net_revenue") * F.col("leaves") - F.col("total")
     return (
         scored.filter(gap < 0)

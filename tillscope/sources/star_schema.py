@@ -45,15 +45,21 @@ def _retyped(table: str, **kinds: T.DataType) -> T.StructType:
     )
 
 
-# For storing this model with ``sources.tables``: category ids are text here, and
-# line amounts are kept because the price per unit is rounded.
+# For storing this model with ``sources.tables``: category ids are text here, line
+# ids hold an order and a line number, and line amounts are kept because the price
+# per unit is rounded.
 STORED_SCHEMAS = SCHEMAS | {
     "categories": _retyped("categories", category_id=T.StringType(), parent_id=T.StringType()),
     "products": _retyped("products", category_id=T.StringType()),
-    "order_items": _retyped("order_items", gross_micros=T.LongType(), net_micros=T.LongType()),
+    "order_items": _retyped(
+        "order_items",
+        order_item_id=T.DecimalType(29, 0),
+        gross_micros=T.LongType(),
+        net_micros=T.LongType(),
+    ),
 }
 
-_LINES_PER_ORDER_KEY = 8  # line numbers run from 1 to 7
+_LINE_NUMBERS = 2**32  # as many as the line number's type has
 
 
 def _unknown(kind: str) -> Column:
@@ -150,8 +156,9 @@ def _order_items(lineitem: DataFrame) -> DataFrame:
     cents = _whole("l_extendedprice", 100)
     basis_points = _whole("l_discount", 10_000)
     quantity = F.col("l_quantity").cast("bigint")
+    first_of_order = F.col("l_orderkey").cast("decimal(19,0)") * F.lit(_LINE_NUMBERS)
     return lineitem.select(
-        (F.col("l_orderkey") * _LINES_PER_ORDER_KEY + F.col("l_linenumber")).alias("order_item_id"),
+        (first_of_order + F.col("l_linenumber")).cast("decimal(29,0)").alias("order_item_id"),
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("product_id"),
         quantity.alias("quantity"),

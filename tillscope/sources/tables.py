@@ -7,8 +7,9 @@ Two layouts take the place of secondary indexes:
   prunes row groups. Lines are range-clustered by order, so that the sum per
   order is complete after the map-side combine. The range key includes the line,
   which lets an order with very many lines spread over several files.
-* ``save_bucketed``: orders and lines bucketed alike by order_id. The sum per
-  order and the join of lines with orders then need no exchange at all.
+* ``save_bucketed``: orders, and the lines folded per order, bucketed alike by
+  order_id. Joining them needs no exchange at all. A bucket holds a row per
+  order, so no order can outweigh it; the lines themselves are clustered as above.
 
 ``store_order_totals`` keeps the lines folded per order. Every report at order
 grain or above then reads that table, several times smaller than the lines.
@@ -18,17 +19,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tillscope.model import RetailModel
 from tillscope.schema import SCHEMAS, TABLES
 
-_BUCKETED = ("orders", "order_items")
-_SMALL_BUCKET = 1_000_000  # lines that any task can take
-
-
 Schemas = Mapping[str, StructType]
 
 
@@ -69,27 +66,30 @@ def read_tables(spark: SparkSession, root: str, schemas: Schemas = SCHEMAS) -> R
 def save_bucketed(
     model: RetailModel, database: str, buckets: int, schemas: Schemas = SCHEMAS
 ) -> None:
-    """Save the tables to a catalog database, facts bucketed and sorted by order_id.
+    """Save the tables to a catalog database, orders and order totals bucketed by order_id.
 
-    Choose ``buckets`` so that one bucket of lines is a few hundred MB. A bucket is
-    read by one task; if a single order outweighs a whole bucket, nothing is
-    written and the plain layout is the one to use.
+    Choose ``buckets`` so that one bucket of orders is a few hundred MB.
     """
-    largest, lines = model.order_totals.agg(F.max("lines"), F.sum("lines")).first()
-    if lines and largest > max(lines / buckets, _SMALL_BUCKET):
-        raise ValueError(f"one order holds {largest} of {lines} lines: use write_tables")
+
+    def save(writer: DataFrameWriter, table: str) -> None:
+        writer.mode("overwrite").format("parquet").saveAsTable(f"{database}.{table}")
+
+    def in_buckets(frame: DataFrame) -> DataFrameWriter:
+        writer = frame.repartition(buckets, "order_id").write
+        return writer.bucketBy(buckets, "order_id").sortBy("order_id")
+
     for table in TABLES:
         frame = _declared(model, table, schemas)
-        if table in _BUCKETED:
-            writer = frame.repartition(buckets, "order_id").write
-            writer = writer.bucketBy(buckets, "order_id").sortBy("order_id")
-        else:
-            writer = frame.write
-        writer.mode("overwrite").format("parquet").saveAsTable(f"{database}.{table}")
+        if table == "order_items":
+            frame = frame.repartitionByRange("order_id", "order_item_id")
+        save(in_buckets(frame) if table == "orders" else frame.write, table)
+    save(in_buckets(model.order_totals), "order_totals")
 
 
 def open_tables(spark: SparkSession, database: str) -> RetailModel:
-    return RetailModel(**{table: spark.table(f"{database}.{table}") for table in TABLES})
+    """The model saved by ``save_bucketed``; its reports read the stored order totals."""
+    stored = {table: spark.table(f"{database}.{table}") for table in (*TABLES, "order_totals")}
+    return RetailModel(**stored)
 
 
 def store_order_totals(model: RetailModel, path: str) -> RetailModel:
