@@ -449,7 +449,7 @@ value AS (
   FROM sale_line JOIN header USING (order_id) GROUP BY customer_id),
 tiled AS (SELECT *, NTILE(4) OVER (ORDER BY net_u, customer_id) AS quartile FROM value)
 SELECT customer_id, customer_name AS customer, CAST(net_u AS DOUBLE) / 10000 AS lifetime_value,
-       orders, {rounded("net_u", "10000 * orders", 2)} AS avg_order,
+       orders, CAST(net_u AS DOUBLE) / 10000 / orders AS avg_order,
        CASE quartile WHEN 4 THEN 'High Value' WHEN 3 THEN 'Medium' ELSE 'Low Value' END
          AS clv_segment
 FROM tiled JOIN cust USING (customer_id) ORDER BY net_u DESC, customer_id LIMIT 10""",

@@ -35,3 +35,16 @@ def test_random_forest(spark, seed):
         rows.append((key, f"c{key}", parent, pick.random() < 0.9))
     tree = c2_category_tree(build_model(spark, categories=rows))
     assert [tuple(row) for row in tree.collect()] == walk(rows)
+
+
+def test_a_chain_of_500_levels(spark):
+    rows = [(n, f"c{n}", n - 1 if n > 1 else None, True) for n in range(1, 501)]
+    tree = c2_category_tree(build_model(spark, categories=rows)).select("category_id", "depth")
+    assert [tuple(row) for row in tree.collect()] == [(n, n - 1) for n in range(1, 501)]
+
+
+def test_cycles_end_and_are_not_listed(spark):
+    rows = [(1, "root", None, True), (2, "leaf", 1, True), (3, "a", 4, True), (4, "b", 3, True)]
+    rows += [(5, "own parent", 5, True), (6, "below a cycle", 4, True)]
+    tree = c2_category_tree(build_model(spark, categories=rows))
+    assert [row.category_id for row in tree.collect()] == [1, 2]

@@ -28,15 +28,19 @@ def _numbered(frame: DataFrame, order: list[Column]) -> DataFrame:
     )
 
 
-def _placed(numbered: DataFrame, name: str) -> DataFrame:
-    """Replace ``_seq`` by the position in the whole table."""
+def _placed(numbered: DataFrame, name: str, total: str = "_total") -> DataFrame:
+    """Replace ``_seq`` by the position in the whole table, and add its number of rows."""
     part = F.shiftright("_seq", _ROW_BITS)
     row = F.col("_seq") - F.shiftleft(part, _ROW_BITS)
     earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         numbered.groupBy(part.alias("_part"))
         .agg(F.count("*").alias("_rows"))
-        .select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+        .select(
+            "_part",
+            F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+            F.sum("_rows").over(W.partitionBy()).alias(total),
+        )
     )
     # Bounded by the number of shuffle partitions, whatever the table's size.
     return (
@@ -53,15 +57,15 @@ def with_position(frame: DataFrame, order: list[Column], name: str = "position")
     ``order`` should end with a unique key: it makes positions reproducible and
     lets a run of equal values spread over several partitions.
     """
-    return _placed(_numbered(frame, order), name)
+    return _placed(_numbered(frame, order), name).drop("_total")
 
 
 def with_ntile(
     frame: DataFrame, tiles: int, order: list[Column], name: str = "tile"
 ) -> DataFrame:
     """Add NTILE(tiles) in ``order``: the first (rows mod tiles) tiles get one row more."""
-    placed = with_position(frame, order, "_position")
-    rows = placed.agg(F.count("*")).scalar()
+    placed = _placed(_numbered(frame, order), "_position")
+    rows = F.col("_total")
     base = F.call_function("div", rows, F.lit(tiles))
     extra = rows % tiles
     longer = extra * (base + 1)
@@ -69,7 +73,7 @@ def with_ntile(
     tile = F.when(before < longer, F.call_function("div", before, base + 1)).otherwise(
         extra + F.call_function("div", before - longer, base)
     )
-    return placed.withColumn(name, tile + 1).drop("_position")
+    return placed.withColumn(name, tile + 1).drop("_position", "_total")
 
 
 def with_rank(frame: DataFrame, value: str, key: str, name: str = "rank") -> DataFrame:

@@ -12,48 +12,46 @@ from tillscope.session import durable
 def c2_category_tree(model: RetailModel) -> DataFrame:
     """Depth-first listing of all categories below a root, with depth and path.
 
-    Each level is joined with its children until no row is added, however deep the
-    tree is and however many rows it has. A category already on its own path is not
-    entered again, so a repeated id cannot loop.
+    Every category knows the way up to some ancestor; each round joins it with the way
+    from there on, so ways double and a tree of n levels takes log2(n) rounds, however
+    many rows it has. A way that meets a category twice is dropped, so a cycle ends;
+    what hangs on a missing parent or a cycle is below no root and is not listed.
     """
-    categories = durable(
-        model.categories.select("category_id", "category_name", "is_active", "parent_id")
-    )
-    child = categories.select(
-        F.col("parent_id").alias("above"),
-        *[F.col(c).alias(f"child_{c}") for c in ("category_id", "category_name", "is_active")],
-    )
-    level = durable(
-        categories.filter("parent_id IS NULL").select(
+    ways = durable(
+        model.categories.select(
             "category_id",
             "category_name",
             "is_active",
-            F.lit(0).cast("bigint").alias("depth"),
-            F.col("category_name").alias("full_path"),
+            F.col("parent_id").alias("above"),
             F.array("category_id").alias("id_path"),
+            F.col("category_name").alias("full_path"),
         )
     )
-    tree = level
-    while not level.isEmpty():
-        level = durable(
-            level.join(child, F.col("above") == F.col("category_id"))
-            .filter(~F.array_contains("id_path", F.col("child_category_id")))
+    while not ways.filter("above IS NOT NULL").isEmpty():
+        onward = ways.select(
+            F.col("category_id").alias("from_id"),
+            F.col("above").alias("next_above"),
+            F.col("id_path").alias("upper_ids"),
+            F.col("full_path").alias("upper_path"),
+        )
+        longer = (
+            ways.join(onward, F.col("above") == F.col("from_id"))
+            .filter(~F.arrays_overlap("upper_ids", "id_path"))
             .select(
-                F.col("child_category_id").alias("category_id"),
-                F.col("child_category_name").alias("category_name"),
-                F.col("child_is_active").alias("is_active"),
-                (F.col("depth") + 1).alias("depth"),
-                F.concat("full_path", F.lit(" > "), "child_category_name").alias("full_path"),
-                F.array_append("id_path", F.col("child_category_id")).alias("id_path"),
+                "category_id",
+                "category_name",
+                "is_active",
+                F.col("next_above").alias("above"),
+                F.concat("upper_ids", "id_path").alias("id_path"),
+                F.concat("upper_path", F.lit(" > "), "full_path").alias("full_path"),
             )
         )
-        tree = tree.unionByName(level)
-    return tree.orderBy("id_path").select(
+        ways = durable(ways.filter("above IS NULL").unionByName(longer))
+    depth = F.size("id_path") - 1
+    return ways.orderBy("id_path").select(
         "category_id",
-        F.concat(F.repeat(F.lit("    "), F.col("depth").cast("int")), "category_name").alias(
-            "indented_name"
-        ),
-        "depth",
+        F.concat(F.repeat(F.lit("    "), depth), "category_name").alias("indented_name"),
+        depth.cast("bigint").alias("depth"),
         "full_path",
         "is_active",
     )
