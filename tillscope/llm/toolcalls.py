@@ -106,18 +106,17 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
         .groupBy("call_id")
         .agg(F.min("content").alias("content"), F.count("*").alias("n_results"))
     )
-    content = content.withColumnRenamed("call_id", "result_id")
-    depths = order(calls).withColumnRenamed("call_id", "ordered_id")
+    depths = order(calls)
+    nameless = results.where("call_id is null").select(
+        "call_id", "content", F.lit(1).cast("bigint").alias("n_results")
+    )
+    # Not one full join: Spark can't split a call_id that many calls bear on the side of the calls
+    # there. depths and content have one row for each call_id.
     whole = (
         calls.withColumn("is_call", F.lit(True))
-        .join(content, F.col("call_id") == F.col("result_id"), "full")
-        .withColumn("call_id", F.coalesce("call_id", "result_id"))
-        .drop("result_id")
-        .unionByName(
-            results.where("call_id is null").select("call_id", "content", F.lit(1).cast("bigint").alias("n_results")),
-            allowMissingColumns=True,
-        )
-        .join(depths, F.col("call_id") == F.col("ordered_id"), "left")
+        .join(depths.join(content, "call_id", "left"), "call_id", "left")
+        .unionByName(content.join(depths, "call_id", "left_anti"), allowMissingColumns=True)
+        .unionByName(nameless, allowMissingColumns=True)
     )
     is_call = F.coalesce("is_call", F.lit(False))
     state = F.when(~is_call, NO_CALL).when(F.col("n_results").isNull(), NO_RESULT).otherwise(LINKED)
