@@ -112,6 +112,37 @@ def test_large_leaves_are_parsed_deeper(spark, monkeypatch):
     assert sum(r.n_dropped for r in templates.drop_recurring(frame).collect()) in range(0, 9)
 
 
+@pytest.mark.parametrize("leaf", [1, 7, 60, 2000])
+def test_drops_are_the_same_at_every_leaf_size(spark, monkeypatch, leaf):
+    monkeypatch.setattr(templates, "LEAF", leaf)
+    random = np.random.default_rng(5)
+    letters = np.array([f"w{chr(97 + i)}" for i in range(20)])
+
+    def edited(base, most):
+        line = base.copy()
+        places = 3 + random.permutation(len(base) - 3)[: random.integers(0, most + 1)]
+        line[places] = random.choice(letters, len(places))
+        return line
+
+    lines = [f"same three words then name{a}{b} differs in all lines".split() for a in "abcdefg" for b in "hijklmno"]
+    for size in (10, 15):
+        for _ in range(6):
+            base = np.r_[["same", "three", "words"], random.choice(letters, size - 3)]
+            lines += [edited(base, 4).tolist() for _ in range(15)]
+    lines = sorted({tuple(line) for line in lines})
+    pairs = [
+        (i, j)
+        for i, a in enumerate(lines)
+        for j, b in enumerate(lines[:i])
+        if len(a) == len(b) and 5 * sum(x != y for x, y in zip(a, b, strict=True)) <= len(a)
+    ]
+    frame = spark.createDataFrame(
+        [(i, " ".join(line)) for i, line in enumerate(lines)], "doc_id bigint, text string"
+    )
+    kept = {r.doc_id for r in templates.drop_recurring(frame).collect() if not r.n_dropped}
+    assert kept == set(roots(len(lines), pairs)) and len(kept) < len(lines) - 54
+
+
 def test_calls_and_results(spark):
     calls = spark.createDataFrame(
         [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -11,14 +12,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import others, settled
+from .shared import components, others, settled
 
 SEED = 42
 #: What stands for a token with a digit, which varies from line to line.
 FIELD = b"<*>"
 DIGIT = re.compile(rb"[0-9]")
-#: Different lines of a leaf that are compared in one task; larger leaves are parsed deeper.
+#: Different lines of a leaf that are compared in one task; those of larger leaves are dealt out.
 LEAF = 2_000
+#: Lines of a large leaf that all its lines are compared with.
+PIVOTS = 8
 #: Leaves whose lines are compared are listed to every task up to this many, and joined beyond.
 LISTED = 500_000
 
@@ -100,30 +103,121 @@ def _tokens(documents: DataFrame, text: str, least: int, depth: int) -> DataFram
     return documents.select(text).mapInArrow(run, "leaf bigint, line bigint, tokens array<bigint>")
 
 
+def spare(n: int, similarity: float) -> int:
+    """In how many of n places lines of one template may differ."""
+    return n - math.ceil(similarity * n - 1e-9)
+
+
 def parse_leaf(lines: np.ndarray, similarity: float) -> np.ndarray:
     """The template (by the place of its first line) of each line of a leaf, in their order.
 
-    A line joins the template that equals it in most places, in `similarity` of all at least; the
-    places in which they differ become variable. Otherwise it is a template of its own.
+    Lines that equal each other in `similarity` of all places at least are of one template, and so
+    are lines that such lines connect.
     """
-    templates = np.zeros_like(lines)
-    variable = np.zeros(lines.shape, bool)
-    first: list[int] = []
-    out = np.zeros(len(lines), np.int64)
-    for i, line in enumerate(lines):
-        k = len(first)
-        equal = ((templates[:k] == line) & ~variable[:k]).sum(1)
-        best = int(equal.argmax()) if k else 0
-        if k and equal[best] >= similarity * lines.shape[1]:
-            variable[best] |= templates[best] != line
-        else:
-            best = k
-            templates[k] = line
-            first.append(i)
-        out[i] = first[best]
+    most = spare(lines.shape[1], similarity)
+    out = np.full(len(lines), -1)
+    left = np.arange(len(lines))
+    while len(left):
+        first, left = left[0], left[1:]
+        out[first] = first
+        waiting = [first]
+        while waiting and len(left):
+            near = (lines[left] != lines[waiting.pop()]).sum(1) <= most
+            out[left[near]] = first
+            waiting += left[near].tolist()
+            left = left[~near]
     return out
 
 
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The lines of a leaf in their order, and the digests of their tokens."""
+    table = table.combine_chunks()
+    line, values = table["line"].to_numpy(), table["tokens"].combine_chunks()
+    order = np.argsort(line)
+    return line[order], values.flatten().to_numpy().reshape(len(values), -1)[order]
+
+
+def _large_leaves(large: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """(line, found): the template of each line that resembles another one of its leaf.
+
+    The same lines are connected as by parse_leaf(), but no task compares more than about twice LEAF
+    of them. Each line is compared with a few pivots of its leaf. Then the places behind the leading
+    ones are cut into one segment more than places may differ, so that lines that match share a
+    segment: lines are compared within the groups that share one. Lines that a pivot connects already
+    aren't compared with each other again; a group of over LEAF lines is compared block by block.
+    """
+
+    def pivots_of(table):
+        line, tokens = _matrix(table)
+        found = parse_leaf(tokens, similarity)
+        firsts, sizes = np.unique(found, return_counts=True)
+        chosen = []
+        for first in firsts[np.argsort(-sizes, kind="stable")[:PIVOTS]]:
+            own = np.flatnonzero(found == first)
+            usual = np.zeros(len(own), np.int64)
+            for column in tokens[own].T:
+                _, place, often = np.unique(column, return_inverse=True, return_counts=True)
+                usual += often[place]
+            chosen.append(own[usual.argmax()])
+        leaf = table["leaf"].combine_chunks().take(pa.array([0] * len(chosen)))
+        lists = pa.array(tokens[chosen].tolist(), pa.list_(pa.int64()))
+        return pa.table({"leaf": leaf, "line": line[chosen], "tokens": lists})
+
+    def compare(table):
+        line, tokens = _matrix(table)
+        found = line[parse_leaf(tokens, similarity)]
+        own = found != line
+        return pa.table({"a": line[own], "b": found[own]})
+
+    sample = large.where(F.pmod("line", F.ceil(F.col("lines") / LEAF)) == 0)
+    pivots = sample.groupBy("leaf").applyInArrow(pivots_of, "leaf bigint, line bigint, tokens array<bigint>")
+    pivots = pivots.groupBy("leaf").agg(F.collect_list(F.struct("line", "tokens")).alias("pivots"))
+    n = F.size("tokens")
+    most = n - F.ceil(similarity * n - 1e-9).cast("int")
+
+    def near(pivot: Column) -> Column:
+        differ = F.zip_with("tokens", pivot["tokens"], lambda x, y: (x != y).cast("int"))
+        return F.aggregate(differ, F.lit(0), lambda s, x: s + x) <= most
+
+    joined = large.join(settled(pivots), "leaf", "left")
+    near_pivots = F.transform(F.filter("pivots", near), lambda pivot: pivot["line"])
+    joined = settled(
+        joined.select("leaf", "line", "tokens", F.coalesce(near_pivots, F.array().cast("array<bigint>")).alias("near"))
+    )
+    links = joined.select(F.col("line").alias("a"), F.explode("near").alias("b"))
+
+    def at(i: Column) -> Column:
+        return F.floor(i * F.greatest(n - depth, F.lit(0)) / (most + 1)).cast("int") + depth + 1
+
+    keys = F.transform(
+        F.sequence(F.lit(0), most),
+        lambda i: F.xxhash64("leaf", i, F.slice("tokens", at(i), at(i + 1) - at(i))),
+    )
+    keyed = settled(
+        joined.select(F.explode(keys).alias("key"), "line", F.coalesce(F.get("near", F.lit(0)), "line").alias("label"))
+    )
+    # Of a group, the lines with the label that most have are connected already.
+    groups = keyed.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key")
+    groups = groups.agg(F.max(F.struct("n", "label")).alias("hub"), F.sum("n").alias("all"))
+    groups = groups.where(F.col("all") > F.col("hub.n"))
+    rows = keyed.join(settled(groups), "key")
+    inner = F.when(F.col("all") > LEAF, F.ceil(F.col("hub.n") / LEAF)).otherwise(0)
+    outer = F.when(F.col("all") > LEAF, F.ceil((F.col("all") - F.col("hub.n")) / LEAF)).otherwise(1)
+    rows = rows.select("key", "line", outer.alias("outer"), inner.alias("inner"), (F.col("label") == F.col("hub.label")).alias("is_hub"))
+    is_hub = F.col("is_hub") & (F.col("inner") > 0)
+    block = F.when(is_hub, F.col("outer") + F.pmod("line", F.greatest("inner", F.lit(1)))).otherwise(F.pmod("line", "outer"))
+    rows = rows.withColumn("block", block)
+    # Blocks from `outer` on hold connected lines, so they meet only those before them.
+    last = F.when(is_hub, F.col("outer")).otherwise(F.col("outer") + F.col("inner"))
+    rows = rows.select(
+        "key", "line", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), last - 1)).alias("other")
+    )
+    rows = rows.select("key", "line", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    tasks = rows.join(joined.select("line", "tokens"), "line").groupBy("key", "x", "y")
+    links = links.unionByName(tasks.applyInArrow(compare, "a bigint, b bigint"))
+    return components(links).select(F.col("node").alias("line"), F.col("root").alias("found"))
+
+
 def recurring_lines(
     documents: DataFrame,
     doc_id: str,
@@ -158,37 +252,26 @@ def recurring_lines(
     leaves = distinct.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("docs").alias("total"))
     leaves = leaves.where(F.col("total") >= min(recurs)).select("leaf", "lines")
     distinct = settled(distinct.join(leaves, "leaf"))
-    shared = settled(distinct.where("lines > 1").select("leaf", "lines").distinct())
+    some = F.ceil(similarity * F.col("n") - 1e-9) < F.col("n")  # else only equal lines match
+    shared = settled(distinct.where(some & (F.col("lines") > 1)).select("leaf", "lines").distinct())
     shared = F.broadcast(shared) if shared.count() <= LISTED else shared
     distinct = distinct.drop("lines")
-    found = (
+    found = settled(
         _tokens(documents, text, least_tokens, depth)
         .join(shared, "leaf")
         .groupBy("leaf", "line")
         .agg(F.min("tokens").alias("tokens"), F.min("lines").alias("lines"))
     )
-    found = settled(found.join(distinct.select("line", "docs"), "line"))
-
-    def run(key, table):
-        table = table.combine_chunks()
-        docs, line = table["docs"].to_numpy(), table["line"].to_numpy()
-        order = np.lexsort((line, -docs))  # what recurs most comes first
-        values = table["tokens"].combine_chunks()
-        tokens = values.flatten().to_numpy().reshape(len(values), -1)[order]
-        return pa.table({"line": line[order], "found": line[order][parse_leaf(tokens, similarity)]})
-
-    parsed = None
-    while True:
-        own = found.where(F.col("lines") <= LEAF).groupBy("leaf")
-        own = own.applyInArrow(run, "line bigint, found bigint")
-        parsed = own if parsed is None else parsed.unionByName(own)
-        large = found.where(F.col("lines") > LEAF)
-        if large.isEmpty():
-            break
-        depth *= 2  # ends at the latest when all tokens lead: then every line has its own leaf
-        large = large.drop("lines").withColumn("leaf", F.xxhash64("leaf", F.slice("tokens", 1, depth)))
-        sizes = large.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1")
-        found = settled(large.join(sizes, "leaf"))
+
+    def run(table):
+        line, tokens = _matrix(table)
+        return pa.table({"line": line, "found": line[parse_leaf(tokens, similarity)]})
+
+    parsed = found.where(F.col("lines") <= LEAF).groupBy("leaf")
+    parsed = parsed.applyInArrow(run, "line bigint, found bigint")
+    large = found.where(F.col("lines") > LEAF)
+    if not large.isEmpty():
+        parsed = parsed.unionByName(_large_leaves(large, depth, similarity))
     keys = (
         distinct.select("line")
         .join(parsed, "line", "left")
@@ -223,7 +306,8 @@ def drop_recurring(
     """The documents without lines of recurring templates, and n_lines and n_dropped (bigint).
 
     Lines are parsed by a tree: their number of tokens, then `depth` leading tokens (a token with a
-    digit is a variable field), then, within a leaf, the most similar template. A template recurs
+    digit is a variable field), then, within a leaf, by the lines that equal them in `similarity` of
+    all places at least: lines that these matches connect are one template. A template recurs
     if its lines occur in at least two different texts, `recurs` times in all: the first number
     for templates of fewer than `short` tokens, the second for longer ones (a text counts once for
     each different line). It stays in the text of its smallest doc_id and goes from all others.
@@ -233,7 +317,7 @@ def drop_recurring(
     lines; empty text has one line and keeps it. A document may lose all lines; it stays, with an
     empty text. A null doc_id comes after all others. Repeated rows stay; columns of the two names
     are replaced; an empty table gives an empty one. Only digests are shuffled to find the lines;
-    a leaf of over LEAF different lines is parsed deeper, by twice as many leading tokens each time.
+    a leaf of over LEAF different lines is compared in several tasks, with the same result.
     """
     lines, recurring = recurring_lines(
         documents, doc_id, text, depth, similarity, least_tokens, short, recurs
