@@ -143,6 +143,20 @@ def test_drops_are_the_same_at_every_leaf_size(spark, monkeypatch, leaf):
     assert kept == set(roots(len(lines), pairs)) and len(kept) < len(lines) - 54
 
 
+def test_short_lines_go(spark):
+    rows = [
+        (1, "Les.\nAnd ornd.\n\n我们去了4个地方\nPage 1\n7\nonce"),
+        (2, "Les.\nAnd ornd.\n\n我们去了4个地方\nPage 2\n8\ntwice only"),
+        (3, "Les.\nAnd ornd.\n\n我们去了4个地方\nPage 3\n9\ntwice only"),
+        (4, "Les.\nAnd other.\n\n他们有5本书"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = {r.doc_id: r.text for r in templates.drop_recurring(frame).collect()}
+    assert left == {
+        1: rows[0][1], 2: "\n8\ntwice only", 3: "\n9\ntwice only", 4: "And other.\n\n他们有5本书",
+    }
+
+
 def test_calls_and_results(spark):
     calls = spark.createDataFrame(
         [

@@ -33,10 +33,16 @@ def digest(data: bytes) -> int:
 
 
 def tokens_of(line: bytes) -> list[bytes]:
-    """The line's tokens, those with a digit as FIELD."""
+    """The line's tokens, those with a digit as FIELD.
+
+    One or two tokens that all have digits stay as they are: in scripts without spaces they may be a
+    whole line, and nothing else would tell them apart.
+    """
     tokens = line.split()
     if DIGIT.search(line):
-        tokens = [FIELD if DIGIT.search(t) else t for t in tokens]
+        masked = [FIELD if DIGIT.search(t) else t for t in tokens]
+        if len(tokens) > 2 or masked.count(FIELD) < len(tokens):
+            return masked
     return tokens
 
 
@@ -45,8 +51,8 @@ def leaf_of(tokens: list[bytes], depth: int) -> int:
     return digest(b"%d %d " % (len(tokens), depth) + b" ".join(tokens[:depth]))
 
 
-def _lines(documents: DataFrame, doc_id: str, text: str, least: int, depth: int) -> DataFrame:
-    """(doc, first, leaf, line, n, at): each different line of a text of at least `least` tokens.
+def _lines(documents: DataFrame, doc_id: str, text: str, depth: int) -> DataFrame:
+    """(doc, first, leaf, line, n, at): each different line of a text that has a token.
 
     `doc` is the digest of the whole text: equal texts are one document. `at` are the numbers of
     the lines, from 0.
@@ -61,7 +67,7 @@ def _lines(documents: DataFrame, doc_id: str, text: str, least: int, depth: int)
                 found: dict[int, tuple] = {}
                 for number, line in enumerate(data.split(b"\n")):
                     tokens = tokens_of(line)
-                    if len(tokens) >= least:
+                    if tokens:
                         key = digest(b" ".join(tokens))
                         if key in found:
                             found[key][-1].append(number)
@@ -82,8 +88,8 @@ def _lines(documents: DataFrame, doc_id: str, text: str, least: int, depth: int)
     )
 
 
-def _tokens(documents: DataFrame, text: str, least: int, depth: int) -> DataFrame:
-    """(leaf, line, tokens): the digests of each line's tokens."""
+def _tokens(documents: DataFrame, text: str, similarity: float, depth: int) -> DataFrame:
+    """(leaf, line, tokens): the digests of the tokens of each line that may differ from its template."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +97,7 @@ def _tokens(documents: DataFrame, text: str, least: int, depth: int) -> DataFram
             for value in batch.column(0):
                 for line in (value.as_py() or "").encode().split(b"\n"):
                     tokens = tokens_of(line)
-                    if len(tokens) >= least:
+                    if spare(len(tokens), similarity) > 0:
                         leaves.append(leaf_of(tokens, depth))
                         keys.append(digest(b" ".join(tokens)))
                         lists.append([digest(t) for t in tokens])
@@ -224,7 +230,6 @@ def recurring_lines(
     text: str,
     depth: int,
     similarity: float,
-    least_tokens: int,
     short: int,
     recurs: tuple[int, int],
 ) -> tuple[DataFrame, DataFrame]:
@@ -233,7 +238,7 @@ def recurring_lines(
     `keeper` is the text in which the template stays.
     """
     lines = settled(
-        _lines(documents, doc_id, text, least_tokens, depth)
+        _lines(documents, doc_id, text, depth)
         .groupBy("line", "doc")
         .agg(F.min("first").alias("first"), F.min("leaf").alias("leaf"), F.min("n").alias("n"), F.min("at").alias("at"))
     )
@@ -257,7 +262,7 @@ def recurring_lines(
     shared = F.broadcast(shared) if shared.count() <= LISTED else shared
     distinct = distinct.drop("lines")
     found = settled(
-        _tokens(documents, text, least_tokens, depth)
+        _tokens(documents, text, similarity, depth)
         .join(shared, "leaf")
         .groupBy("leaf", "line")
         .agg(F.min("tokens").alias("tokens"), F.min("lines").alias("lines"))
@@ -299,7 +304,6 @@ def drop_recurring(
     text: str = "text",
     depth: int = 3,
     similarity: float = 0.8,
-    least_tokens: int = 3,
     short: int = 8,
     recurs: tuple[int, int] = (3, 2),
 ) -> DataFrame:
@@ -311,7 +315,7 @@ def drop_recurring(
     if its lines occur in at least two different texts, `recurs` times in all: the first number
     for templates of fewer than `short` tokens, the second for longer ones (a text counts once for
     each different line). It stays in the text of its smallest doc_id and goes from all others.
-    Lines of fewer than `least_tokens` tokens always stay.
+    Lines of one or two tokens recur as others do; of lines without a token, blank ones, all stay.
 
     Equal texts are one document here, so exact copies stay copies. Null text stays null, with no
     lines; empty text has one line and keeps it. A document may lose all lines; it stays, with an
@@ -320,7 +324,7 @@ def drop_recurring(
     a leaf of over LEAF different lines is compared in several tasks, with the same result.
     """
     lines, recurring = recurring_lines(
-        documents, doc_id, text, depth, similarity, least_tokens, short, recurs
+        documents, doc_id, text, depth, similarity, short, recurs
     )
     dropped = settled(
         lines.select("line", "doc", "at")
