@@ -125,6 +125,34 @@ def test_outliers_are_rejected(spark):
     assert {r.doc_id for r in rejected} == set(range(12))
 
 
+def test_menus_are_rejected(spark):
+    random = np.random.default_rng(4)
+    syllables = ["ba", "ne", "tor", "ild", "ma", "ste", "un", "re"]
+    rows = []
+    for i in range(400):
+        words = ["".join(random.choice(syllables, 3)) for _ in range(80)]
+        if i < 12:  # a tenth of the characters are symbols
+            words = [w + "|" if k % 5 else w for k, w in enumerate(words)]
+        rows.append((i, " ".join(words), "en", "a"))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    rejected = quality.judge(frame, carried=["doc_id"]).where("not kept").collect()
+    assert {r.doc_id for r in rejected} == set(range(12))
+
+
+def test_no_spread_is_added(spark):
+    random = np.random.default_rng(6)
+    x = random.normal(5000, [300, 20, 200, 400, 10], (2000, 5)).round()
+    frame = spark.createDataFrame(
+        [("g", *row) for row in x.tolist()], "group string, " + ", ".join(f"x{i} double" for i in range(5))
+    )
+    row = quality._moments(frame, 5, 1.0).first()
+    factor = np.array([[row[f"l{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+    wanted = np.cov(x.T, bias=True)
+    least = (np.array(quality.LEAST_SPREAD) * quality.SCALE) ** 2
+    np.fill_diagonal(wanted, np.maximum(wanted.diagonal(), least))
+    assert np.allclose(factor @ factor.T, wanted, rtol=1e-6, atol=1e-3)
+
+
 def test_url_rules(spark):
     pages = [
         ("http://A.Example.COM/en/x?q#f", "a.example.com", "/en/x", "example.com/en/", "block"),
