@@ -153,6 +153,22 @@ def test_no_spread_is_added(spark):
     assert np.allclose(factor @ factor.T, wanted, rtol=1e-6, atol=1e-3)
 
 
+def test_small_groups_are_judged_by_all_rows(spark):
+    random = np.random.default_rng(3)
+    syllables = ["ba", "ne", "tor", "ild", "ma", "ste", "un", "re"]
+    rows = []
+    for i in range(310):
+        words = ["".join(random.choice(syllables, 3)) for _ in range(80)]
+        if i in (5, 305):
+            words = [w + "***" for w in words]
+        rows.append((i, " ".join(words), "en" if i < 300 else "fr", "a"))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    rejected = quality.judge(frame, carried=["doc_id"]).where("not kept").collect()
+    assert {r.doc_id for r in rejected} == {5, 305}
+    few = quality.judge(frame.where("doc_id >= 150"), carried=["doc_id"])
+    assert few.where("not kept").count() == 0  # the whole table is too small
+
+
 def test_url_rules(spark):
     pages = [
         ("http://A.Example.COM/en/x?q#f", "a.example.com", "/en/x", "example.com/en/", "block"),

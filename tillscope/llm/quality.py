@@ -238,7 +238,7 @@ def estimates(
 ) -> DataFrame:
     """For each `key` the mean and Cholesky factor that its rows are judged by, and the limit of d2.
 
-    The limit is null where too few rows share the estimate.
+    The limit is null where the whole table has too few rows for an estimate.
     """
     p = len(LEAST_SPREAD)
     xs = [f"x{i}" for i in range(p)]
@@ -253,9 +253,23 @@ def estimates(
     total = rest.groupBy("group").agg(F.sum("n").alias("n"))
     rest = rest.drop("n").join(total, "group").select("key", "group", "n")
     group_of = settled(narrow.unionByName(rest))
+    lone = (F.col("group") == "rest") & (F.col("n") < least_group)
+    whole = not group_of.where(lone).isEmpty()
+    if whole:  # the few rows that are left are judged by the estimate of all
+        every = sizes.agg(F.sum("n").alias("every"))
+        group_of = settled(
+            group_of.crossJoin(F.broadcast(every)).select(
+                "key",
+                F.when(lone, "all").otherwise(F.col("group")).alias("group"),
+                F.when(lone, F.col("every")).otherwise(F.col("n")).alias("n"),
+            )
+        )
     few = group_of.count() <= LISTED
     listed = F.broadcast(group_of) if few else group_of
-    rows = settled(sound.select("key", *xs).join(listed, "key").select("group", *xs))
+    rows = sound.select("key", *xs).join(listed, "key").select("group", *xs)
+    if whole:
+        rows = rows.where("group <> 'all'").unionByName(sound.select(F.lit("all").alias("group"), *xs))
+    rows = settled(rows)
 
     correction = half / _chi_square(_chi_square_quantile(half, p), p + 2)
     middle = _given(rows, _quantiles(rows, xs, 0.5))
@@ -299,7 +313,8 @@ def judge(
     probability `reject`.
 
     A group of fewer than `least_group` rows is judged with the other such groups of its first
-    column, and those with the rest of all; where even that is too few, rows are kept. A null
+    column, and those with the rest of all; where even that is too few, by the estimate of all rows.
+    Only where the whole table has fewer rows that pass the base rules, these are kept. A null
     group value is a value like others. Null and empty texts fail the base rules. Repeated rows
     count as often as they occur; carried columns named like a result are replaced; an empty table
     gives an empty one. All of it is DataFrame functions; rows meet only as sums and counts, so a
