@@ -12,7 +12,7 @@ from tillscope.operators.insights import i1_top_products
 from tillscope.operators.products import d1_top_products_by_region
 from tillscope.functions.measures import rounded_div
 from tillscope.sources import star_schema
-from conftest import build_model
+from hand_model import build_model
 
 SF_DIR = "/root/testdata/sf0.001"
 

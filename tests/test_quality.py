@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conftest import HAND, build_model
+from hand_model import HAND, build_model
 from tillscope.model import RetailModel
 from tillscope.operators import quality
 from tillscope.schema import SCHEMAS

@@ -141,7 +141,7 @@ def test_references_are_counted_per_key(skewed):
 def test_sums_beyond_64_bits(spark):
     """Two orders of 9 * 10**12 each: their micros do not fit into one bigint sum."""
     big = [(n, n, 1, 90_000, "99999999.99", "0.00") for n in range(1, 4)]
-    from conftest import build_model
+    from hand_model import build_model
 
     orders = [(n, 1, date(2023, 1, 1), None, "Delivered", "Card", "0.00") for n in range(1, 4)]
     model = build_model(spark, orders=orders, order_items=big)

@@ -4,7 +4,7 @@ from datetime import date
 from decimal import Decimal as D
 
 import pytest
-from conftest import HAND, build_model
+from hand_model import HAND, build_model
 
 from tillscope.functions.measures import Sales, money, ratio, yearly_rate
 from tillscope.operators.customers import (

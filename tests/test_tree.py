@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import build_model
+from hand_model import build_model
 
 from tillscope.operators.hierarchy import c2_category_tree
 
