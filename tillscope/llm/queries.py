@@ -15,9 +15,11 @@ from . import (
     packing,
     prefixes,
     quality,
+    repair,
     simhash,
     templates,
     toolcalls,
+    trie,
     urls,
 )
 
@@ -33,6 +35,8 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TOKEN_LIMIT = 512
+#: Rebuilt conversations share up to so many turns with the first of their hundred.
+MOST_SHARED = 5
 TOOL = "answer"
 TOOL_SCHEMAS = {
     TOOL: {"prompt": {"type": "string", "least": 1}, "turn": {"type": "integer", "least": 0}}
@@ -119,6 +123,28 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepairs.round_trip(documents, RANKS, public_tokenizers.PATTERN).drop("text")
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, conversations = trie.placed(_table(spark, sf_dir, "conversations"))
+    base = F.col("conv") - F.col("conv") % 100
+    shared = F.crc32(F.col("conv").cast("string")) % (MOST_SHARED + 1)
+    rebuilt = trie.rebuilt(turns, conversations, base, shared, MOST_SHARED)
+    return trie.digested(trie.blocks(*rebuilt)).select(
+        F.col("conv").alias("conv_id"),
+        "depth",
+        F.col("parent_conv").alias("parent_conv_id"),
+        "n_convs",
+        "n_children",
+        "n_leaves",
+        F.col("saved").alias("saved_tokens"),
+        "ends_sha256",
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = repair.damage(_table(spark, sf_dir, "conversations"))
+    return repair.audits(repair.repair(damaged, present=F.col("present")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_simhash_near_dedup,
@@ -131,6 +157,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_counts,
         op9_line_dedup,
         op10_byte_bpe,
+        op12_conversation_prefix_trie,
+        op13_conversation_repair,
     )
     return {query.__name__: query for query in own}
 
@@ -196,6 +224,50 @@ FROM linked
 """
 
 
+OP12_SQL = f"""
+WITH numbered AS (
+  SELECT conv_id AS c, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS turn_,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(turn_ ORDER BY place) AS turns FROM numbered GROUP BY c),
+crc AS (
+  SELECT c, xor(list_reduce(
+    [4294967295] || list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i, 1))::BIGINT),
+    lambda a, b: list_reduce([xor(a, b)] || range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))),
+    4294967295) % {MOST_SHARED + 1} AS h
+  FROM own),
+rebuilt AS (
+  SELECT own.c, coalesce(base.turns[1:h], []) || own.turns[h + 1:] AS turns
+  FROM own JOIN crc USING (c) LEFT JOIN own base ON base.c = own.c - own.c % 100),
+prefixes AS (
+  SELECT c, depth, turns[1:depth] AS prefix, len(turns) = depth AS ends
+  FROM rebuilt, unnest(range(len(turns) + 1)) AS d(depth)),
+nodes AS (
+  SELECT prefix, depth, min(c) AS conv_id, count(*) AS n_convs,
+         coalesce(length(prefix[depth].text), 0) AS chars,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY prefix, depth),
+families AS (
+  SELECT p.prefix, p.depth, count(k.depth) AS n_children
+  FROM nodes p LEFT JOIN nodes k ON k.depth = p.depth + 1 AND k.prefix[1:p.depth] = p.prefix
+  GROUP BY ALL),
+subtrees AS (
+  SELECT t.prefix, t.depth, count(*) FILTER (n_children = 0) AS n_leaves,
+         sum((b.n_convs - 1) * b.chars)::BIGINT AS saved_tokens
+  FROM nodes t JOIN nodes b ON b.prefix[1:t.depth] = t.prefix AND b.depth >= t.depth
+  JOIN families f ON f.prefix = b.prefix
+  GROUP BY t.prefix, t.depth)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, f.n_children, n_leaves,
+       saved_tokens, n.ends_sha256
+FROM nodes n JOIN families f ON f.prefix = n.prefix JOIN subtrees s ON s.prefix = n.prefix
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1] AND n.depth > 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express a query; the others are held against brute force in tests."""
-    return {"op2_url_filter": OP2_SQL, "op4_tool_call_linking": OP4_SQL}
+    return {
+        "op2_url_filter": OP2_SQL,
+        "op4_tool_call_linking": OP4_SQL,
+        "op12_conversation_prefix_trie": OP12_SQL,
+    }
