@@ -1,0 +1,132 @@
+"""The conversation prefix trie against a plain one, on conversations that share many turns."""
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import duckdb
+import pytest
+
+from tillscope.llm import queries, trie
+from pyspark.sql import functions as F
+
+SCHEMA = "conv_id bigint, turn bigint, role string, text string"
+
+
+def by_hand(conversations):
+    """conversations: {conv: [(role, text), ...]} -> rows as the operator returns them."""
+    members, ended, turns = defaultdict(list), defaultdict(list), {}
+    for conv, rows in conversations.items():
+        for depth in range(len(rows) + 1):
+            members[tuple(rows[:depth])].append(conv)
+        ended[tuple(rows)].append(conv)
+    children = defaultdict(list)
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+    found = []
+
+    def walk(node):
+        leaves, saved = (0 if children[node] else 1), 0
+        for child in children[node]:
+            more = walk(child)
+            leaves, saved = leaves + more[0], saved + more[1]
+        saved += (len(members[node]) - 1) * (len(node[-1][1]) if node else 0)
+        parent = min(members[node[:-1]]) if node else None
+        ids = ",".join(map(str, sorted(ended[node])))
+        digest = hashlib.sha256(ids.encode()).hexdigest()
+        found.append(
+            (min(members[node]), len(node), parent, len(members[node]), len(children[node]), leaves, saved, digest)
+        )
+        return leaves, saved
+
+    if conversations:
+        walk(())
+    return sorted(found, key=str)
+
+
+def by_operator(turns, shared=lambda conv: F.lit(0), most=5):
+    placed, spans = trie.placed(turns)
+    conv = F.col("conv")
+    rebuilt = trie.rebuilt(placed, spans, conv - conv % 100, shared(conv), most)
+    rows = trie.digested(trie.blocks(*rebuilt)).select(
+        "conv", "depth", "parent_conv", "n_convs", "n_children", "n_leaves", "saved", "ends_sha256"
+    )
+    return sorted(map(tuple, rows.collect()), key=str)
+
+
+def plain(rows):
+    conversations = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            conversations[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    return {c: [(r, t) for _, _, r, t in sorted(v)] for c, v in conversations.items()}
+
+
+@pytest.mark.parametrize("seed, longest, words", [(1, 6, 2), (2, 19, 1), (3, 9, 3)])
+def test_nodes_equal_a_plain_trie(spark, seed, longest, words):
+    rng = random.Random(seed)
+    rows = [
+        (conv, turn, "ua"[turn % 2], "w" * rng.randint(1, words))
+        for conv in range(150)
+        for turn in range(rng.randint(1, longest))
+    ]
+    turns = spark.createDataFrame(rows, SCHEMA)
+    assert by_operator(turns) == by_hand(plain(rows))
+
+
+def test_shared_beginnings(spark):
+    """Fewer turns than are shared, an absent base, and conversations left without a turn."""
+    rng = random.Random(4)
+    rows = [
+        (conv, turn, "user", rng.choice("ab"))
+        for conv in [*range(0, 60), *range(101, 140), 700]
+        for turn in range(1 + conv % 4)
+    ]
+    own = plain(rows)
+    rebuilt = {}
+    for conv, turns in own.items():
+        shared = zlib.crc32(str(conv).encode()) % 6
+        rebuilt[conv] = own.get(conv - conv % 100, [])[:shared] + turns[shared:]
+    assert any(not turns for turns in rebuilt.values())
+    turns = spark.createDataFrame(rows, SCHEMA)
+    found = by_operator(turns, lambda conv: F.crc32(conv.cast("string")) % 6)
+    assert found == by_hand(rebuilt)
+
+
+def test_many_ends_of_one_node(spark, monkeypatch):
+    """Copies of one conversation; their ids go through the digest in several pieces."""
+    monkeypatch.setattr(trie, "CHUNK", 8)
+    rows = [(conv, turn, "user", "same") for conv in range(5, 305, 2) for turn in range(3)]
+    assert by_operator(spark.createDataFrame(rows, SCHEMA)) == by_hand(plain(rows))
+
+
+def test_odd_tables(spark):
+    """Nulls, empty and very long texts, equal turn numbers, repeated rows, clashing columns, no rows."""
+    long = "x y " * 100_000
+    rows = [
+        (1, None, "user", "a"),
+        (1, 0, None, None),
+        (2, None, "user", "a"),
+        (2, 0, "", ""),
+        (3, 1, "user", long),
+        (4, 1, "user", long),
+        (4, 2, "user", long),
+        (5, 1, "user", "t"),
+        (5, 1, "user", "t"),
+        (6, 1, "use", "rt"),
+        (None, 1, "user", "a"),
+    ]
+    turns = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS place", "7 AS n", "0 AS block")
+    assert by_operator(turns) == by_hand(plain(rows))
+    assert by_operator(turns.limit(0)) == []
+
+
+def test_query_equals_sql(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
+    frame = queries.op12_conversation_prefix_trie(spark, sf_dir)
+    expected = duck.sql(queries.OP12_SQL).select(*frame.columns).fetchall()
+    assert sorted(map(tuple, frame.collect()), key=str) == sorted(expected, key=str)
