@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import (
     bytepairs,
     forest,
+    htmltext,
     languages,
     packing,
     prefixes,
@@ -123,6 +124,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepairs.round_trip(documents, RANKS, public_tokenizers.PATTERN).drop("text")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltext.main_text(pages).drop("html")
+
+
 def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns, conversations = trie.placed(_table(spark, sf_dir, "conversations"))
     base = F.col("conv") - F.col("conv") % 100
@@ -157,6 +163,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_token_counts,
         op9_line_dedup,
         op10_byte_bpe,
+        op11_html_extraction,
         op12_conversation_prefix_trie,
         op13_conversation_repair,
     )
@@ -224,6 +231,21 @@ FROM linked
 """
 
 
+#: For pages whose main text is one article of h1, p, br and inline elements, as the given ones.
+OP11_SQL = r"""
+WITH inner_html AS (
+  SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS article FROM pages),
+plain AS (
+  SELECT page_id, url, regexp_replace(
+    regexp_replace(article, '</?(h1|p|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS marked
+  FROM inner_html),
+decoded AS (
+  SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(marked,
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS text
+  FROM plain)
+SELECT page_id, url, text, length(text) AS n_chars FROM decoded
+"""
+
 OP12_SQL = f"""
 WITH numbered AS (
   SELECT conv_id AS c, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS turn_,
@@ -269,5 +291,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": OP2_SQL,
         "op4_tool_call_linking": OP4_SQL,
+        "op11_html_extraction": OP11_SQL,
         "op12_conversation_prefix_trie": OP12_SQL,
     }
