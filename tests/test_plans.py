@@ -13,7 +13,9 @@ from tillscope.operators.customers import (
     e1_top_customers_correlated,
     e1_top_customers_preagg,
     f2_cohort_retention,
+    vc3_clv_ntile,
 )
+from tillscope.operators.insights import i4_quartile_share
 from tillscope.operators.joins import (
     a1_order_details,
     a2_customers_without_orders,
@@ -84,12 +86,22 @@ def test_no_nested_loops_products_or_python(star, name):
 
 @pytest.mark.parametrize("name", list(ANALYSES))
 def test_nothing_is_broadcast_without_a_size_check(star, name):
-    """With the thresholds off, only the per-partition offsets of a ranking may be broadcast."""
-    text = plan(ANALYSES[name](star))
-    broadcasts = len(re.findall(r"BroadcastExchange", text))
-    offsets = len(re.findall(r"Project \[_part#\d+L, coalesce\(_we\d+", text))
-    assert broadcasts == offsets
-    assert (offsets > 0) == (name == "f1")
+    """With the thresholds off, nothing is; a ranking's cuts and counts are scalar subqueries."""
+    assert "BroadcastExchange" not in plan(ANALYSES[name](star))
+
+
+@pytest.mark.parametrize("report", [i4_quartile_share, vc3_clv_ntile])
+def test_quartile_cuts_sort_and_number_no_customers(star, report):
+    text = plan(report(star))
+    assert "rangepartitioning" not in text and "Window [" not in text.replace("Window [sum", "")
+    assert "l_orderkey" not in text and "BroadcastExchange" not in text
+
+
+def test_ranks_deal_the_rows_once(star):
+    frame = f1_product_margin(star)
+    text = plan(frame)
+    assert "rangepartitioning" not in text and "ExistingRDD" not in text
+    assert len(re.findall(r"Exchange hashpartitioning\(_slot#\d+, _dealt", text)) == 1
 
 
 def test_filters_and_columns_reach_the_scan(star):

@@ -18,9 +18,10 @@ from tillscope.functions.measures import (
     ratio,
     yearly_rate,
 )
-from tillscope.functions.ordering import with_ntile
+from tillscope.functions.ordering import tile_cuts, tile_of, with_ntile
 from tillscope.model import RetailModel
 from tillscope.plans.frames import customer_sales, listed
+from tillscope.session import durable
 
 
 @dataclass(frozen=True)
@@ -125,10 +126,10 @@ def c3_customer_lifetime_value(
     return report
 
 
-def spend_quartiles(model: RetailModel) -> DataFrame:
-    """customer_id, total_spend in cents, spend_quartile 1..4 (4 = highest).
+def placed_spend(model: RetailModel) -> DataFrame:
+    """customer_id, total_spend in cents, of the buying customers that take a place in a tile.
 
-    Customers that don't exist, or whose region doesn't, take no place in a tile.
+    Those that don't exist, or whose region doesn't, take none.
     """
     spend = customer_sales(model, Sales.VALID).select(
         "customer_id", money("net").alias("total_spend")
@@ -136,8 +137,13 @@ def spend_quartiles(model: RetailModel) -> DataFrame:
     placed = model.customers.select("customer_id", "region_id").join(
         model.regions.select("region_id"), "region_id", "left_semi"
     )
-    spend = spend.join(placed, "customer_id", "left_semi")
-    return with_ntile(spend, 4, [F.asc("total_spend"), F.asc("customer_id")], "spend_quartile")
+    return spend.join(placed, "customer_id", "left_semi")
+
+
+def spend_quartiles(model: RetailModel) -> DataFrame:
+    """customer_id, total_spend in cents, spend_quartile 1..4 (4 = highest)."""
+    order = [F.asc("total_spend"), F.asc("customer_id")]
+    return with_ntile(placed_spend(model), 4, order, "spend_quartile")
 
 
 def d4_spend_quartiles(model: RetailModel, ordered: bool = False) -> DataFrame:
@@ -245,15 +251,20 @@ def f2_cohort_retention(model: RetailModel, months: int = 12) -> DataFrame:
 def vc3_clv_ntile(model: RetailModel, k: int = 10) -> DataFrame:
     """Top customers by value over orders of every status, tiered by value quartile.
 
-    The mean order value stays unrounded.
+    The mean order value stays unrounded. The value of each customer is written once,
+    for the three cuts between the quartiles and for the list; customers are neither
+    sorted nor numbered. Runs jobs when called.
     """
-    value = customer_sales(model, Sales.ANY).select(
-        "customer_id", "orders", F.col("net").alias("lifetime_value")
+    value = durable(
+        customer_sales(model, Sales.ANY).select(
+            "customer_id", "orders", F.col("net").alias("lifetime_value")
+        )
     )
-    tiled = with_ntile(value, 4, [F.asc("lifetime_value"), F.asc("customer_id")], "quartile")
+    cuts = tile_cuts(value, 4, "lifetime_value", "customer_id")
     return (
         model.named_customers.select("customer_id", "customer_name")
-        .join(tiled, "customer_id")
+        .join(value, "customer_id")
+        .withColumn("quartile", tile_of(cuts, "lifetime_value", "customer_id"))
         .orderBy(F.desc("lifetime_value"), "customer_id")
         .limit(k)
         .select(

@@ -18,8 +18,9 @@ from tillscope.functions.measures import (
     ratio,
     share_pct,
 )
+from tillscope.functions.ordering import tile_cuts, tile_of
 from tillscope.model import RetailModel
-from tillscope.operators.customers import customer_history, spend_quartiles, with_value_estimate
+from tillscope.operators.customers import customer_history, placed_spend, with_value_estimate
 from tillscope.operators.trends import d2_month_over_month, rounded_months
 from tillscope.plans.frames import (
     customer_sales,
@@ -110,10 +111,16 @@ def i3_segment_profile(model: RetailModel) -> DataFrame:
 
 
 def i4_quartile_share(model: RetailModel) -> DataFrame:
-    """Share of total spend held by each spend quartile."""
+    """Share of total spend held by each spend quartile.
+
+    Two columns per customer are written once, for the three exact cuts between the
+    quartiles and for the sums; customers are neither sorted nor numbered. Runs jobs when
+    called.
+    """
+    spend = durable(placed_spend(model))
+    cuts = tile_cuts(spend, 4, "total_spend", "customer_id")
     return (
-        spend_quartiles(model)
-        .groupBy("spend_quartile")
+        spend.groupBy(tile_of(cuts, "total_spend", "customer_id").alias("spend_quartile"))
         .agg(F.count("*").alias("customers"), F.sum("total_spend").alias("spend"))
         .select(
             "spend_quartile",
@@ -121,7 +128,7 @@ def i4_quartile_share(model: RetailModel) -> DataFrame:
             money("spend").alias("total_spend"),
             share_pct("spend", F.sum("spend").over(_all())).alias("revenue_pct"),
         )
-        .orderBy("spend_quartile")
+        .transform(listed, "spend_quartile")
     )
 
 
