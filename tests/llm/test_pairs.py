@@ -1,9 +1,10 @@
 """Operators on pairs and groups of rows against brute force."""
 
+import duckdb
 import numpy as np
 import pytest
 
-from tillscope.llm import forest, simhash, templates, toolcalls
+from tillscope.llm import forest, queries, simhash, templates, toolcalls
 from tillscope.llm.shared import components
 
 
@@ -105,13 +106,6 @@ def test_recurring_lines_go(spark, documents, none):
     assert templates.drop_recurring(none).count() == 0
 
 
-def test_large_leaves_are_parsed_deeper(spark, monkeypatch):
-    monkeypatch.setattr(templates, "LEAF", 3)
-    rows = [(i, f"same three words then {chr(97 + i)} differs in all lines") for i in range(9)]
-    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert sum(r.n_dropped for r in templates.drop_recurring(frame).collect()) in range(0, 9)
-
-
 @pytest.mark.parametrize("leaf", [1, 7, 60, 2000])
 def test_drops_are_the_same_at_every_leaf_size(spark, monkeypatch, leaf):
     monkeypatch.setattr(templates, "LEAF", leaf)
@@ -167,18 +161,50 @@ def test_calls_and_results(spark):
             ("e", "d", "f", '{"x":"","y":2}'),
             (None, None, "f", None),
             ("a", None, "f", '{"y": 1, "x": "s"}'),
+            ("h", "a", "f", '{"x":"t","y":2}'),
+            ("h", "b", "f", '{"x":"t","y":2}'),
         ],
         "call_id string, parent_id string, name string, arguments string",
     )
-    results = spark.createDataFrame([("a", "r2"), ("a", "r1"), ("q", "o"), (None, "n")], "call_id string, content string")
+    results = [("a", "r2"), ("a", "r1"), ("a", None), ("a", "r2"), ("q", "o"), ("q", "p"), (None, "n")]
+    results = spark.createDataFrame(results, "call_id string, content string")
     schemas = {"f": {"x": {"type": "string", "least": 1}, "y": {"type": "integer"}}}
     rows = toolcalls.link(calls, results, schemas).collect()
-    found = {r.call_id: r for r in rows if r.call_id}
-    assert len(rows) == 9
+    further = {(r.call_id, r.json): r for r in rows if r.n_results and ('r2"' in r.json or 'p"' in r.json)}
+    found = {r.call_id: r for r in rows if r.call_id and (r.call_id, r.json) not in further}
+    assert len(rows) == 13
+    assert sorted((r.call_id, r.state, r.n_results, r.depth, r.errors[0], r.json) for r in further.values()) == [
+        ("a", "further_result", 2, 0, "further result", '{"arguments":null,"id":"a","name":null,"result":"r2"}'),
+        ("q", "no_call", 1, None, "no call", '{"arguments":null,"id":"q","name":null,"result":"p"}'),
+    ]
+    assert found["h"].errors == ["several parents"] and found["h"].depth == 1
     assert found["a"].json == '{"arguments":{"x":"s","y":1},"id":"a","name":"f","result":"r1"}'
-    assert (found["a"].n_results, found["a"].depth, found["a"].valid) == (2, 0, True)
+    assert (found["a"].n_results, found["a"].depth, found["a"].valid) == (4, 0, True)
     assert found["b"].errors == ["x is no string", "missing y"] and found["b"].depth == 1
     assert found["c"].errors == ["unknown tool", "not JSON"] and found["c"].depth == 2
     assert found["d"].errors == ["unexpected z"] and found["d"].depth is None  # on a cycle
     assert found["e"].errors == ["x is too small"] and found["e"].state == "no_result"
     assert found["q"].state == "no_call" and not found["q"].valid
+
+
+def test_calls_against_sql_and_empty_sides(spark):
+    """The query on the given conversations with repeated, long, empty and null texts added."""
+    sf_dir = "/root/testdata/sf0.001"
+    odd = [(1, 1, "assistant", "other"), (1, 1, "assistant", "other"), (2, 0, "assistant", "of nothing"),
+           (2, 0, "assistant", "of nothing, too"), (9001, 0, "user", ""), (5, 1, "assistant", "long " * 50_000)]
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = turns.unionByName(spark.createDataFrame(odd, turns.schema)).toPandas()
+    folder = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/odd_calls"
+    spark.createDataFrame(turns).write.mode("overwrite").parquet(f"{folder}/conversations.parquet")
+    frame = queries.op4_tool_call_linking(spark, folder)
+    duck = duckdb.connect()
+    duck.register("conversations", turns)
+    expected = duck.sql(queries.OP4_SQL).select(*frame.columns).fetchall()
+    found = list(map(tuple, frame.collect()))
+    assert sorted(found, key=str) == sorted(expected, key=str)
+    assert sum(row[1] == "further_result" for row in found) >= 1
+    calls, results = toolcalls.calls_of(spark.createDataFrame(turns), "f")
+    nothing = toolcalls.link(calls.limit(0), results.limit(0), {})
+    assert nothing.count() == 0
+    assert {r.state for r in toolcalls.link(calls, results.limit(0), {}).collect()} == {"no_result"}
+    assert {r.state for r in toolcalls.link(calls.limit(0), results, {}).collect()} == {"no_call"}

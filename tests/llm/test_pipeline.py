@@ -29,6 +29,27 @@ def test_documents_that_share_an_id_but_no_text_stay(spark):
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, text), rows[1], (0, "x y")])
 
 
+def test_stages_keep_columns_called_like_their_results(spark, documents, none):
+    """Extra columns named as what the operators return, nulls, repeated rows, and no rows."""
+    named = documents.selectExpr(
+        "*", "'in' AS score", "'in' AS lang_pred", "'in' AS kept", "'in' AS distance", "'in' AS n_lines",
+        "'in' AS n_dropped", "'in' AS base_failed", "7L AS n_chars", "'in' AS `row`", "'in' AS doc",
+    )
+    named = named.unionByName(named)
+    extra = ("score", "lang_pred", "kept", "distance", "n_lines", "n_dropped", "base_failed", "row", "doc")
+    for stage in (corpus_pipeline.keep_quality, corpus_pipeline.drop_lines, corpus_pipeline.identify_language):
+        left = stage(spark, named, SF_DIR)
+        assert left.columns == named.columns
+        rows = left.collect()
+        assert rows and all(r[c] == "in" for r in rows for c in extra)
+        if stage is corpus_pipeline.drop_lines:
+            assert len(rows) == 18 and {r.n_words for r in rows} == {1, 2, 3, 4, 5, 6, None}
+        else:
+            assert {r.n_chars for r in rows} == {7} and all(r.text for r in rows)
+        assert stage(spark, named.limit(0), SF_DIR).count() == 0
+    assert corpus_pipeline.pack(spark, none, SF_DIR).count() == 0
+
+
 def fingerprint(text):
     """One bit at a time, by the definition."""
     words = (text or "").encode().lower().split()

@@ -199,9 +199,11 @@ OP4_SQL = f"""
 WITH calls AS (
   SELECT conv_id, turn, conv_id || '-' || turn AS call_id, text AS prompt
   FROM conversations WHERE role = 'user'),
+texts AS (
+  SELECT conv_id || '-' || (turn - 1) AS call_id, text AS content, count(*) AS n_results
+  FROM conversations WHERE role = 'assistant' GROUP BY ALL),
 results AS (
-  SELECT conv_id || '-' || (turn - 1) AS call_id, min(text) AS content, count(*) AS n_results
-  FROM conversations WHERE role = 'assistant' GROUP BY 1),
+  SELECT call_id, min(content) AS content, sum(n_results)::BIGINT AS n_results FROM texts GROUP BY 1),
 gaps AS (
   SELECT *, CASE WHEN turn - lag(turn) OVER (
       PARTITION BY conv_id, turn % 2 ORDER BY turn) = 2 THEN 0 ELSE 1 END AS starts
@@ -220,7 +222,19 @@ linked AS (
            || ',"id":' || to_json(coalesce(o.call_id, r.call_id))
            || ',"name":' || CASE WHEN o.call_id IS NULL THEN 'null' ELSE '"{TOOL}"' END
            || ',"result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}}' AS json
-  FROM ordered o FULL JOIN results r ON o.call_id = r.call_id)
+  FROM ordered o FULL JOIN results r ON o.call_id = r.call_id),
+further AS (
+  SELECT t.call_id, t.n_results, o.depth, o.call_id IS NOT NULL AS is_further,
+         '{{"arguments":null,"id":' || to_json(t.call_id) || ',"name":null,"result":'
+           || to_json(t.content) || '}}' AS json
+  FROM texts t JOIN results r ON t.call_id = r.call_id AND t.content > r.content
+  LEFT JOIN (SELECT DISTINCT call_id, depth FROM ordered) o ON o.call_id = t.call_id)
+SELECT call_id, CASE WHEN is_further THEN '{toolcalls.FURTHER}' ELSE '{toolcalls.NO_CALL}' END AS state,
+       n_results, depth, false AS valid,
+       CASE WHEN is_further THEN 'further result' ELSE 'no call' END AS errors,
+       length(json) AS json_chars, md5(json) AS json_md5
+FROM further
+UNION ALL
 SELECT call_id,
        CASE WHEN NOT is_call THEN '{toolcalls.NO_CALL}' WHEN has_result THEN '{toolcalls.LINKED}'
             ELSE '{toolcalls.NO_RESULT}' END AS state,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .shared import settled
 
-LINKED, NO_RESULT, NO_CALL = "linked", "no_result", "no_call"
+LINKED, NO_RESULT, NO_CALL, FURTHER = "linked", "no_result", "no_call", "further_result"
 #: JSON types of an argument, by the prefix of the type that Spark finds in the parsed JSON.
 TYPES = {
     "string": ("STRING",),
@@ -20,17 +20,25 @@ TYPES = {
 
 
 def order(calls: DataFrame) -> DataFrame:
-    """(call_id, depth): how many calls come before each, through their parents.
+    """(call_id, depth, several): how many calls come before each, through their parents.
 
     A parent that isn't among the calls counts as none. The depth of a call on a cycle, or behind
-    one, is null. Parents are followed by doubling: each round looks twice as far, so a chain of n
+    one, is null. Where repeated calls of one id name different parents, several is true and the
+    least one is followed. Parents are followed by doubling: each round looks twice as far, so a chain of n
     calls takes log2(n) rounds.
     """
-    ids = calls.where("call_id is not null").groupBy("call_id").agg(F.min("parent_id").alias("parent"))
+    ids = settled(
+        calls.where("call_id is not null")
+        .groupBy("call_id")
+        .agg(
+            F.min("parent_id").alias("parent"),
+            F.coalesce(F.min("parent_id") < F.max("parent_id"), F.lit(False)).alias("several"),
+        )
+    )
     known = ids.select(F.col("call_id").alias("parent"), F.lit(True).alias("there"))
     steps = (
         ids.join(known, "parent", "left")
-        .select("call_id", F.when(F.col("there"), F.col("parent")).alias("ahead"))
+        .select("call_id", "several", F.when(F.col("there"), F.col("parent")).alias("ahead"))
         .withColumn("depth", F.when(F.col("ahead").isNull(), 0).otherwise(1).cast("bigint"))
     )
     steps = settled(steps)
@@ -42,12 +50,14 @@ def order(calls: DataFrame) -> DataFrame:
         steps = settled(
             steps.join(next_, "ahead", "left").select(
                 "call_id",
+                "several",
                 F.col("beyond").alias("ahead"),
                 (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
             )
         )
         rounds += 1
-    return steps.select("call_id", F.when(F.col("ahead").isNull(), F.col("depth")).alias("depth"))
+    depth = F.when(F.col("ahead").isNull(), F.col("depth")).alias("depth")
+    return steps.select("call_id", depth, "several")
 
 
 def problems(tool: Column, arguments: Column, parsed: Column, schemas: dict[str, dict]) -> Column:
@@ -92,21 +102,33 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
 
     `calls` has call_id, parent_id, name (strings) and arguments (JSON text); `results` has call_id
     and content (text). Both are joined by call_id: a call without result is `no_result`, a result
-    without call `no_call`. Of several results of a call the least text is taken and n_results
-    counts them. A null call_id links with nothing. Repeated calls each get their row and their
-    result; other columns are not looked at; empty tables give their side's rows only.
-
-    depth orders the calls (see `order`). errors and valid come from the schemas; orphaned results
-    are not valid. json is canonical: keys in order, no space, numbers and strings in one form;
+    without call `no_call`. Of several results of a call the least text stands in the call's row and
+    n_results counts them all; each other text has a row of its own, `further_result` (`no_call`
+    without a call), with the number of results that have it, so no text is lost. A null call_id
+    links with nothing. Repeated calls each get their row and their result; other columns are not
+    looked at; empty tables give their side's rows only.
+
+    depth orders the calls (see `order`). errors and valid come from the schemas, and a call with
+    several parents has an error; results that stand alone are not valid. json is canonical: keys in order, no space, numbers and strings in one form;
     arguments that are not JSON stand in it as text.
     """
     calls = calls.select("call_id", "parent_id", "name", "arguments")
-    content = (
+    texts = settled(
         results.where("call_id is not null")
-        .groupBy("call_id")
-        .agg(F.min("content").alias("content"), F.count("*").alias("n_results"))
+        .groupBy("call_id", "content")
+        .agg(F.count("*").alias("n_results"))
+    )
+    content = settled(
+        texts.groupBy("call_id").agg(
+            F.min("content").alias("content"), F.sum("n_results").alias("n_results")
+        )
+    )
+    depths = settled(order(calls))
+    least = content.select("call_id", F.col("content").alias("least"))
+    known = depths.select("call_id", "depth", F.lit(True).alias("is_further"))
+    further = (
+        texts.join(least, "call_id").where("content > least").drop("least").join(known, "call_id", "left")
     )
-    depths = order(calls)
     nameless = results.where("call_id is null").select(
         "call_id", "content", F.lit(1).cast("bigint").alias("n_results")
     )
@@ -117,12 +139,16 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
         .join(depths.join(content, "call_id", "left"), "call_id", "left")
         .unionByName(content.join(depths, "call_id", "left_anti"), allowMissingColumns=True)
         .unionByName(nameless, allowMissingColumns=True)
+        .unionByName(further, allowMissingColumns=True)
     )
     is_call = F.coalesce("is_call", F.lit(False))
-    state = F.when(~is_call, NO_CALL).when(F.col("n_results").isNull(), NO_RESULT).otherwise(LINKED)
+    state = F.when(F.col("is_further"), FURTHER).when(~is_call, NO_CALL).when(F.col("n_results").isNull(), NO_RESULT).otherwise(LINKED)
     whole = whole.withColumn("parsed", F.try_parse_json("arguments"))
     errors = problems(F.col("name"), F.col("arguments"), F.col("parsed"), schemas)
-    errors = F.when(is_call, errors).otherwise(F.array(F.lit("no call")))
+    several = F.when(F.col("several"), F.array(F.lit("several parents")))
+    errors = F.concat(errors, F.coalesce(several, F.array().cast("array<string>")))
+    alone = F.when(F.col("is_further"), "further result").otherwise("no call")
+    errors = F.when(is_call, errors).otherwise(F.array(alone))
     whole = whole.select("*", state.alias("state"), errors.alias("errors"))
 
     def text(c: str) -> Column:
