@@ -15,24 +15,47 @@ from tillscope.llm.shared import shared_folder
 LEAST_COSINE = 0.05
 
 
+def _carried(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and all of them as one column `_row`, which no operator replaces."""
+    return docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those that resemble no language of the corpus."""
-    judged = languages.predict(docs, language_model(spark, sf_dir))
+    """Rejects documents without a letter and those that resemble no language of the corpus.
+
+    So null and empty texts go; repeated rows stay; an empty table gives an empty one.
+    """
+    judged = languages.predict(_carried(docs, "text"), language_model(spark, sf_dir))
     known = (F.col("lang_pred") != languages.UNDETERMINED) & (F.col("score") >= LEAST_COSINE)
-    return judged.where(known).select(*[f"`{c}`" for c in docs.columns])
+    return judged.where(known).select("_row.*")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that fail the base rules or are outliers of their language and source."""
-    return quality.judge(docs).where("kept").select(*[f"`{c}`" for c in docs.columns])
+    """Rejects documents that fail the base rules or are outliers of their language and source.
+
+    Null and empty texts fail the base rules; a null language or source is a group like others;
+    repeated rows stay; an empty table gives an empty one.
+    """
+    judged = quality.judge(_carried(docs, "text", "lang", "source"), carried=["_row"])
+    return judged.where("kept").select("_row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines of templates that recur across documents; n_chars follows the text."""
-    left = templates.drop_recurring(docs)
-    return left.withColumn("n_chars", F.length("text").cast("bigint")).select(
-        *[f"`{c}`" for c in docs.columns]
-    )
+    """Drops lines of templates that recur across documents; n_chars follows the text.
+
+    Every row stays, also with a null, empty or emptied text or without doc_id; an empty table
+    gives an empty one. Other columns stay as they are, whatever they are called.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("_row")
+    left = templates.drop_recurring(docs.select("doc_id", "text", row))
+
+    def column(c: str):
+        if c == "n_chars":
+            return F.length("text").cast("bigint").alias(c)
+        return F.col(c) if c in ("doc_id", "text") else F.col("_row").getField(c).alias(c)
+
+    return left.select(*[column(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +78,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences."""
+    """Packs the documents' tokens into sequences; null and empty texts are their end token.
+
+    The last stage returns op5's columns and none of the input's; an empty table gives an empty one.
+    """
     return pack_documents(docs)
 
 
