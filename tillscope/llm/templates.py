@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, others, settled
+from .shared import Memo, components, others, settled
 
 SEED = 42
 #: What stands for a token with a digit, which varies from line to line.
@@ -22,8 +22,11 @@ DIGIT = re.compile(rb"[0-9]")
 LEAF = 2_000
 #: Lines of a large leaf that all its lines are compared with.
 PIVOTS = 8
-#: Leaves whose lines are compared are listed to every task up to this many, and joined beyond.
-LISTED = 500_000
+#: Leaves whose lines are compared, and recurring templates, are listed to every task up to this
+#: many, and joined beyond.
+LISTED = 100_000
+#: Bits of the map by which tasks pass over lines of leaves that hold nothing to compare.
+MAP_BITS = 1 << 24
 
 
 def digest(data: bytes) -> int:
@@ -88,19 +91,38 @@ def _lines(documents: DataFrame, doc_id: str, text: str, depth: int) -> DataFram
     )
 
 
-def _tokens(documents: DataFrame, text: str, similarity: float, depth: int) -> DataFrame:
-    """(leaf, line, tokens): the digests of the tokens of each line that may differ from its template."""
+def _leaf_map(leaves: DataFrame) -> bytes:
+    """A bit for every remainder of a leaf in `leaves`: at most MAP_BITS / 8 bytes, however many."""
+    bit = F.pmod("leaf", F.lit(MAP_BITS))
+    word = F.call_function("div", bit, F.lit(32)).alias("word")
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 32).cast("int")))
+    words = leaves.groupBy(word).agg(bits.alias("bits")).collect()
+    out = np.zeros(MAP_BITS // 32, np.uint32)
+    if words:
+        out[[w for w, _ in words]] = [b for _, b in words]
+    return out.tobytes()
+
+
+def _tokens(documents: DataFrame, text: str, similarity: float, depth: int, leaf_map: bytes) -> DataFrame:
+    """(leaf, line, tokens): the digests of the tokens of each line that may differ from its template.
+
+    Lines of leaves that aren't in the map are left out before their tokens are digested.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = Memo(digest, longest=32)
         for batch in batches:
             leaves, keys, lists = [], [], []
             for value in batch.column(0):
                 for line in (value.as_py() or "").encode().split(b"\n"):
                     tokens = tokens_of(line)
                     if spare(len(tokens), similarity) > 0:
-                        leaves.append(leaf_of(tokens, depth))
-                        keys.append(digest(b" ".join(tokens)))
-                        lists.append([digest(t) for t in tokens])
+                        leaf = leaf_of(tokens, depth)
+                        bit = leaf % MAP_BITS
+                        if leaf_map[bit >> 3] >> (bit & 7) & 1:
+                            leaves.append(leaf)
+                            keys.append(digest(b" ".join(tokens)))
+                            lists.append([one[t] for t in tokens])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(leaves, pa.int64()), pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64()))],
                 ["leaf", "line", "tokens"],
@@ -259,10 +281,11 @@ def recurring_lines(
     distinct = settled(distinct.join(leaves, "leaf"))
     some = F.ceil(similarity * F.col("n") - 1e-9) < F.col("n")  # else only equal lines match
     shared = settled(distinct.where(some & (F.col("lines") > 1)).select("leaf", "lines").distinct())
+    leaf_map = _leaf_map(shared)
     shared = F.broadcast(shared) if shared.count() <= LISTED else shared
     distinct = distinct.drop("lines")
     found = settled(
-        _tokens(documents, text, similarity, depth)
+        _tokens(documents, text, similarity, depth, leaf_map)
         .join(shared, "leaf")
         .groupBy("leaf", "line")
         .agg(F.min("tokens").alias("tokens"), F.min("lines").alias("lines"))
@@ -284,7 +307,7 @@ def recurring_lines(
     )
     keyed = settled(distinct.join(keys, "line"))
     needed = F.when(F.col("n") < short, recurs[0]).otherwise(recurs[1])
-    templates = (
+    templates = settled(
         keyed.groupBy("template")
         .agg(
             F.sum("docs").alias("docs"),
@@ -295,6 +318,8 @@ def recurring_lines(
         .where(F.col("many") & (F.col("docs") >= needed))
         .select("template", F.col("least.doc").alias("keeper"))
     )
+    # Most lines may be of one template: few templates are listed, else the join can be split.
+    templates = F.broadcast(templates) if templates.count() <= LISTED else templates
     return lines, settled(keyed.select("line", "template").join(templates, "template").select("line", "keeper"))
 
 
@@ -340,7 +365,8 @@ def drop_recurring(
     )
     whole = packed.join(dropped, "doc", "left")
     parts = F.split(F.col(f"row.`{text}`"), "\n")
-    left = F.filter(parts, lambda _, i: ~F.array_contains("gone", i))
+    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
+    left = F.transform(places, lambda i: F.get(parts, i))
     new_text = F.when(F.col("gone").isNull(), F.col(f"row.`{text}`")).otherwise(F.array_join(left, "\n"))
     n_lines = F.coalesce(F.size(parts), F.lit(0))
     n_lines = F.when(F.col(f"row.`{text}`").isNull(), 0).otherwise(n_lines)
