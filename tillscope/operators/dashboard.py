@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.functions.measures import Sales, money, ratio
+from tillscope.functions.measures import Sales, line_amount, money, ratio
 from tillscope.model import RetailModel
 from tillscope.operators.counts import g7_row_counts
 from tillscope.operators.customers import e1_top_customers_correlated, e1_top_customers_preagg
-from tillscope.operators.joins import a1_order_details, segment_totals
+from tillscope.operators.joins import order_lines, segment_totals
 from tillscope.operators.products import d1_top_products_by_region
 from tillscope.operators.trends import c1_monthly_trend, d2_month_over_month
 from tillscope.plans.frames import listed
@@ -17,17 +17,15 @@ from tillscope.plans.frames import listed
 
 def va1_order_listing(model: RetailModel, ordered: bool = False) -> DataFrame:
     """Seven columns of the order detail; ``ordered`` sorts by date, then by order."""
-    detail = a1_order_details(model)
-    if ordered:
-        detail = detail.orderBy(F.desc("order_date"), "order_id")
-    return detail.select(
+    order = (F.desc("order_date"), "order_id") if ordered else ()
+    return order_lines(model, *order).select(
         "order_id",
         "customer_name",
         "region_name",
         "product_name",
         "category_name",
         "quantity",
-        "net_revenue",
+        line_amount("net_micros").alias("net_revenue"),
     )
 
 

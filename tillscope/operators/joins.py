@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions.measures import (
@@ -19,32 +19,57 @@ from tillscope.model import RetailModel
 from tillscope.plans.frames import customer_sales, listed
 
 
-def a1_order_details(model: RetailModel, ordered: bool = False) -> DataFrame:
-    """Every valid order line with its customer, region, product and leaf category.
+#: Customers and products that are looked up by every task, at most: names of some 100 MB.
+MOST_LOOKED_UP = 500_000
+
+
+def order_lines(model: RetailModel, *order: Column | str) -> DataFrame:
+    """Every valid order line with the names of its customer, region, product and leaf category.
+
+    Unordered, the joins are bushy: headers meet customers and products their
+    categories first, so the lines, by far the largest side, move at most twice.
 
-    The joins are bushy: headers meet customers and products their categories
-    first, so the lines, by far the largest side, move at most twice.
-    ``ordered`` adds the listing order (newest order first) as a range sort.
+    With an ``order`` (of line and order columns) only ids and amounts are sorted;
+    names are added to the sorted rows by lookups, which keep their order and
+    move none of them. That asks for names that fit into every task, so their
+    rows are counted first (which runs a job); where they are too many, the names
+    are joined before the sort.
     """
-    headers = (
-        model.kept_orders(Sales.VALID)
-        .select("order_id", "customer_id", "order_date", "status")
-        .join(
-            model.named_customers.select(
-                "customer_id",
-                "customer_name",
-                F.col("segment").alias("customer_segment"),
-                "region_id",
-            ),
-            "customer_id",
-        )
-        .join(model.regions.select("region_id", "region_name"), "region_id")
+    orders = model.kept_orders(Sales.VALID).select(
+        "order_id", "customer_id", "order_date", "status"
     )
+    buyers = model.named_customers.select(
+        "customer_id", "customer_name", F.col("segment").alias("customer_segment"), "region_id"
+    ).join(model.regions.select("region_id", "region_name"), "region_id")
     goods = model.catalogue.select("product_id", "product_name", "category_name")
+    looked_up = order and all(
+        table.count() <= MOST_LOOKED_UP for table in (model.customers, model.products)
+    )
+    if looked_up:
+        # A position in the sorted rows is asked for, or the sort would be dropped
+        # as one whose order no join needs.
+        placed = (
+            model.lines.join(orders, "order_id")
+            .orderBy(*order)
+            .withColumn("_at", F.monotonically_increasing_id())
+        )
+        return (
+            placed.join(F.broadcast(buyers), "customer_id")
+            .join(F.broadcast(goods), "product_id")
+            .where("_at >= 0")
+        )
+    headers = orders.join(buyers, "customer_id")
     detail = model.lines.join(headers, "order_id").join(goods, "product_id")
-    if ordered:
-        detail = detail.orderBy(F.desc("order_date"), "order_id", "order_item_id")
-    return detail.select(
+    return detail.orderBy(*order) if order else detail
+
+
+def a1_order_details(model: RetailModel, ordered: bool = False) -> DataFrame:
+    """Every valid order line with its customer, region, product and leaf category.
+
+    ``ordered`` lists the newest order first, an order's lines by number.
+    """
+    order = (F.desc("order_date"), "order_id", "order_item_id") if ordered else ()
+    return order_lines(model, *order).select(
         "order_id",
         "order_date",
         "status",
