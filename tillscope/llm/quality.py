@@ -234,12 +234,9 @@ def _measured(
 
 
 def estimates(
-    measured: DataFrame, half: float, steps: int, least_group: int, limit: float
+    measured: DataFrame, half: float, steps: int, least_group: int
 ) -> DataFrame:
-    """For each `key` the mean and Cholesky factor that its rows are judged by, and the limit of d2.
-
-    The limit is null where the whole table has too few rows for an estimate.
-    """
+    """For each `key` the mean and Cholesky factor that its rows are judged by."""
     p = len(LEAST_SPREAD)
     xs = [f"x{i}" for i in range(p)]
     sound = measured.where("not base_failed")
@@ -287,8 +284,7 @@ def estimates(
         inner = _given(near, _quantiles(near, ["d2"], half)).where("d2 <= q_d2")
         found = _moments(inner, p, correction)
         near = _with_distance(_given(rows, found), p).select("group", *xs, "d2")
-    enough = F.when(F.col("n") >= least_group, F.lit(limit)).alias("limit")
-    return found.join(group_of, "group").select("key", enough, *[c for c in found.columns if c != "group"])
+    return found.join(group_of, "group").select("key", *[c for c in found.columns if c != "group"])
 
 
 def judge(
@@ -313,8 +309,8 @@ def judge(
     probability `reject`.
 
     A group of fewer than `least_group` rows is judged with the other such groups of its first
-    column, and those with the rest of all; where even that is too few, by the estimate of all rows.
-    Only where the whole table has fewer rows that pass the base rules, these are kept. A null
+    column, and those with the rest of all; where even that is too few, by the estimate of all rows,
+    however few: no statistic's spread counts as smaller than its least one. A null
     group value is a value like others. Null and empty texts fail the base rules. Repeated rows
     count as often as they occur; carried columns named like a result are replaced; an empty table
     gives an empty one. All of it is DataFrame functions; rows meet only as sums and counts, so a
@@ -330,10 +326,10 @@ def judge(
     slim = settled(measured if text not in columns else measured.drop("row"))
     measured = measured if text in columns else slim
     limit = _chi_square_quantile(1 - reject, len(LEAST_SPREAD))
-    found = settled(estimates(slim, half, steps, least_group, limit))
+    found = settled(estimates(slim, half, steps, least_group))
     found = F.broadcast(found) if found.count() <= LISTED else found
     distance = _with_distance(measured.join(found, "key", "left"), len(LEAST_SPREAD))
-    near = F.col("limit").isNull() | (F.col("d2") <= F.col("limit"))
+    near = F.col("d2") <= limit
     return distance.select(
         *[F.col("row").getField(c).alias(c) for c in columns],
         *COUNTS,
