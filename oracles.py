@@ -339,6 +339,101 @@ def _union(parts) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+# table -> its key as text, and (rule, condition) for repeated keys, references and checks
+_FAULTS = {
+    "regions": ("r_regionkey::VARCHAR", (
+        ("region_id repeated", "r_regionkey IN (SELECT r_regionkey FROM region GROUP BY 1 HAVING COUNT(*) > 1)"),
+        ("region_name repeated", "r_name IN (SELECT r_name FROM region GROUP BY 1 HAVING COUNT(*) > 1)"),
+    ), ()),
+    "categories": ("category_id", (
+        ("category_id repeated", "category_id IN (SELECT category_id FROM cat GROUP BY 1 HAVING COUNT(*) > 1)"),
+        ("parent_id not in categories", "parent_id NOT IN (SELECT category_id FROM cat)"),
+    ), ()),
+    "customers": ("customer_id::VARCHAR", (
+        ("customer_id repeated", "customer_id IN (SELECT customer_id FROM cust GROUP BY 1 HAVING COUNT(*) > 1)"),
+        ("email repeated", "email IN (SELECT email FROM cust GROUP BY 1 HAVING COUNT(*) > 1)"),
+        ("region_id not in regions", "region_id NOT IN (SELECT r_regionkey FROM region)"),
+    ), (
+        ("segment in domain",
+         "segment NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY')"),
+    )),
+    "products": ("product_id::VARCHAR", (
+        ("product_id repeated", "product_id IN (SELECT product_id FROM prod GROUP BY 1 HAVING COUNT(*) > 1)"),
+        ("category_id not in categories", "category_id NOT IN (SELECT category_id FROM cat)"),
+    ), ()),
+    "orders": ("order_id::VARCHAR", (
+        ("order_id repeated", "order_id IN (SELECT order_id FROM header GROUP BY 1 HAVING COUNT(*) > 1)"),
+        ("customer_id not in customers", "customer_id NOT IN (SELECT customer_id FROM cust)"),
+    ), (
+        ("status in domain",
+         "status NOT IN ('Pending', 'Processing', 'Shipped', 'Delivered', 'Cancelled', 'Returned')"),
+    )),
+    "order_items": ("(order_id::HUGEINT * 4294967296 + line_no)::VARCHAR", (
+        ("order_item_id repeated",
+         "(order_id, line_no) IN (SELECT (order_id, line_no) FROM sale_line GROUP BY 1 HAVING COUNT(*) > 1)"),
+        ("order_id not in orders", "order_id NOT IN (SELECT order_id FROM header)"),
+        ("product_id not in products", "product_id NOT IN (SELECT product_id FROM prod)"),
+    ), (
+        ("quantity positive", "qty <= 0"),
+    )),
+}
+
+
+def _violations() -> str:
+    parts = []
+    for table, (key, between, checks) in _FAULTS.items():
+        source, required = _REQUIRED[table]
+        if table == "order_items":  # the altered rows keep their unit price, whatever their quantity
+            required = required | {"unit_price": "gross_c"}
+        nulls = [(f"{c} is NULL", f"({expression}) IS NULL") for c, expression in required.items()]
+        rules = ", ".join(f"CASE WHEN {wrong} THEN '{rule}' END" for rule, wrong in (*between, *nulls, *checks))
+        parts.append(
+            f"SELECT '{table}' AS table_name, {key} AS row_key, concat_ws('; ', {rules}) AS rules FROM {source}"
+        )
+    return f"SELECT * FROM ({_union(parts)}) WHERE rules <> ''"
+
+
+#: Views that take the place of others, with faults planted by the keys.
+_ALTERED = """,
+header_ AS (
+  SELECT order_id, CASE WHEN order_id % 83 = 0 THEN -order_id ELSE customer_id END AS customer_id,
+         CASE WHEN order_id % 89 = 0 THEN NULL ELSE order_date END AS order_date, payment_method,
+         CASE WHEN order_id % 97 = 0 THEN 'Lost' ELSE status END AS status
+  FROM header),
+altered_header AS (
+  SELECT * FROM header_ UNION ALL SELECT * FROM header_ WHERE order_id % 211 = 0),
+altered_cust AS (
+  SELECT * REPLACE (
+    CASE WHEN customer_id % 31 = 0 THEN 'IRON' ELSE segment END AS segment,
+    CASE WHEN customer_id % 29 = 0 THEN 'same@example.com' ELSE email END AS email)
+  FROM cust),
+altered_sale_line AS (
+  SELECT * REPLACE (
+    CASE WHEN order_id % 101 = 0 THEN 0 ELSE qty END AS qty,
+    CASE WHEN order_id % 103 = 0 THEN NULL ELSE product_id END AS product_id)
+  FROM sale_line)
+"""
+
+
+def _altered(body: str) -> str:
+    for view in ("header", "cust", "sale_line"):
+        body = body.replace(f"FROM {view}", f"FROM altered_{view}")
+    return _ALTERED + body
+
+
+def _scan() -> str:
+    """Row counts, NULLs, values to fill in (the same, of the columns with a default), failed checks."""
+    parts = [f"SELECT '{t}' AS table_name, 'rows' AS kind, '' AS name, COUNT(*) AS rows FROM {s}" for t, s in _TABLE_ROWS]
+    for table, (source, columns) in _REQUIRED.items():
+        filled = {c for t, c, _ in _FILLED if t == table}
+        for column, expression in columns.items():
+            for kind in ("null", "default") if column in filled else ("null",):
+                parts.append(f"SELECT '{table}', '{kind}', '{column}', COUNT(*) FROM {source} WHERE ({expression}) IS NULL")
+        for rule, wrong in _FAULTS[table][2]:
+            parts.append(f"SELECT '{table}', 'check', '{rule}', COUNT(*) FROM {source} WHERE {wrong}")
+    return _union(parts)
+
+
 def sql() -> dict[str, str]:
     queries = {
         "a1_order_details": _DETAIL,
@@ -584,6 +679,11 @@ UNION ALL SELECT 'order_items', 'quantity positive', COUNT(*) FROM sale_line WHE
             for table, column, count in _FILLED
         ),
     }
+    queries |= {
+        "q_violations": _violations(),
+        "q_violations_altered": _altered(_violations()),
+        "q_scan": _scan(),
+    }
     text = {name: BASE + body for name, body in queries.items()}
     text["g4_gen_customers"] = _GENERATED_CUSTOMERS.format(segment=_BASE_SEGMENT)
     text["g4b_reclassify_platinum"] = _GENERATED_CUSTOMERS.format(

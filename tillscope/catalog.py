@@ -17,6 +17,7 @@ from tillscope.operators import (
     joins,
     products,
     quality,
+    quarantine,
     subqueries,
     trends,
 )
@@ -66,6 +67,8 @@ _FUNCTIONS = (
     quality.q_check,
     quality.q_nn,
     quality.q_def,
+    quarantine.q_violations,
+    quarantine.q_scan,
 )
 
 OPERATORS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in _FUNCTIONS}

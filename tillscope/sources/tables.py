@@ -17,7 +17,7 @@ grain or above then reads that table, several times smaller than the lines.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +27,7 @@ from tillscope.model import RetailModel
 from tillscope.schema import SCHEMAS, TABLES
 
 Schemas = Mapping[str, StructType]
+Watch = Callable[[str, DataFrame], DataFrame]
 
 
 def _declared(model: RetailModel, table: str, schemas: Schemas) -> DataFrame:
@@ -36,18 +37,26 @@ def _declared(model: RetailModel, table: str, schemas: Schemas) -> DataFrame:
     )
 
 
-def write_tables(model: RetailModel, root: str, schemas: Schemas = SCHEMAS) -> None:
-    """Overwrite ``root``/<table> with the six tables."""
+def write_tables(
+    model: RetailModel, root: str, schemas: Schemas = SCHEMAS, watch: Watch | None = None
+) -> None:
+    """Overwrite ``root``/<table> with the six tables.
+
+    ``watch`` may add to what is written, such as ``observe`` metrics (see ``operators.quarantine.watched``).
+    """
     for table in TABLES:
         frame = _declared(model, table, schemas)
         if table == "orders":
             frame = frame.sortWithinPartitions("status", "order_date")
+            frame = frame if watch is None else watch(table, frame)
             frame.write.mode("overwrite").partitionBy("status").parquet(f"{root}/{table}")
             continue
         if table == "order_items":
             frame = frame.repartitionByRange("order_id", "order_item_id").sortWithinPartitions(
                 "order_id", "order_item_id"
             )
+        # Behind the exchange, since its sampling reads the rows once more.
+        frame = frame if watch is None else watch(table, frame)
         frame.write.mode("overwrite").parquet(f"{root}/{table}")
 
 
