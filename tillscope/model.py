@@ -21,8 +21,13 @@ class RetailModel:
     ``gross_micros`` and ``net_micros`` of its own, for sources that store line
     amounts instead of unit prices. ``order_totals`` may be a stored copy of the
     frame of that name (see ``sources.tables.store_order_totals``).
+
+    ``line_keys`` are the columns that lines share with their order: its id, and in
+    a layout by folders those of the folder, so that the lines' folders are pruned too.
     """
 
+    line_keys: tuple[str, ...] = ("order_id",)
+
     def __init__(
         self,
         regions: Table,
@@ -83,13 +88,20 @@ class RetailModel:
 
     def kept_orders(self, sales: Sales, since: Column | None = None) -> DataFrame:
         """Orders counted by ``sales``, from the date ``since`` on."""
-        kept = self.orders.filter(counted(sales))
+        return self._filtered(self.orders, sales, since)
+
+    @staticmethod
+    def _filtered(orders: DataFrame, sales: Sales, since: Column | None) -> DataFrame:
+        kept = orders.filter(counted(sales))
         return kept if since is None else kept.filter(F.col("order_date") >= since)
 
     @property
     def lines(self) -> DataFrame:
         """Order items with line amounts: gross, and net of the line discount."""
-        items = self.order_items
+        return self._with_amounts(self.order_items)
+
+    @staticmethod
+    def _with_amounts(items: DataFrame) -> DataFrame:
         if "gross_micros" not in items.columns:
             items = items.withColumn("gross_micros", gross_micros("quantity", "unit_price"))
         if "net_micros" not in items.columns:
@@ -108,6 +120,21 @@ class RetailModel:
         """One row per order that has lines: lines, units, partial sums of gross and net."""
         return self.table("order_totals")
 
+    @property
+    def keyed_lines(self) -> DataFrame:
+        """Lines with all columns of ``line_keys``."""
+        return self.lines
+
+    @property
+    def keyed_totals(self) -> DataFrame:
+        """Order totals with all columns of ``line_keys``."""
+        return self.order_totals
+
+    @property
+    def month_sums(self) -> DataFrame | None:
+        """Stored sums per month and status, where a layout keeps them."""
+        return None
+
     @property
     def named_customers(self) -> DataFrame:
         """Customers with ``customer_name``; NULL if either part is missing."""

@@ -13,7 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.functions.measures import Sales, amount, carried_sums, line_sums, month_of
+from tillscope.functions.measures import (
+    Sales,
+    amount,
+    carried_sums,
+    counted,
+    line_sums,
+    month_of,
+)
 from tillscope.model import RetailModel
 
 
@@ -21,8 +28,8 @@ def order_sales(model: RetailModel, sales: Sales) -> DataFrame:
     """One row per kept order with lines: its customer, date, month and totals."""
     return (
         model.kept_orders(sales)
-        .select("order_id", "customer_id", "order_date")
-        .join(model.order_totals, "order_id")
+        .select(*model.line_keys, "customer_id", "order_date")
+        .join(model.keyed_totals, list(model.line_keys))
         .withColumn("sales_month", month_of("order_date"))
     )
 
@@ -59,9 +66,11 @@ def sold_lines(
     Needed where the product matters, so nothing can be summed beforehand; an
     oversized order is left to the adaptive skew-join split.
     """
-    lines = model.lines.select("order_id", "product_id", "quantity", "gross_micros", "net_micros")
-    orders = model.kept_orders(sales, since).select("order_id", *order_columns)
-    return lines.join(orders, "order_id", "inner" if order_columns else "left_semi")
+    keys = model.line_keys
+    lines = model.keyed_lines.select(*keys, "product_id", "quantity", "gross_micros", "net_micros")
+    added = [c for c in order_columns if c not in keys]
+    orders = model.kept_orders(sales, since).select(*keys, *added)
+    return lines.join(orders, list(keys), "inner" if added else "left_semi")
 
 
 def month_sales(model: RetailModel, sales: Sales) -> DataFrame:
@@ -69,9 +78,12 @@ def month_sales(model: RetailModel, sales: Sales) -> DataFrame:
 
     Only sums are wanted, so the joined lines go straight into the month's
     partial aggregate; folding them per order first would cost more than it
-    saves, unless the folded lines are at hand already.
+    saves, unless the folded lines, or the sums of months, are at hand already.
     """
-    if model.totals_stored:
+    if model.month_sums is not None:
+        grouped = model.month_sums.filter(counted(sales)).groupBy("sales_month")
+        months = grouped.agg(*carried_sums("gross", "net"))
+    elif model.totals_stored:
         grouped = order_sales(model, sales).groupBy("sales_month")
         months = grouped.agg(*carried_sums("gross", "net"))
     else:

@@ -30,7 +30,7 @@ Schemas = Mapping[str, StructType]
 Watch = Callable[[str, DataFrame], DataFrame]
 
 
-def _declared(model: RetailModel, table: str, schemas: Schemas) -> DataFrame:
+def declared(model: RetailModel, table: str, schemas: Schemas) -> DataFrame:
     """The table's declared columns in their declared types."""
     return model.table(table).select(
         *[F.col(field.name).cast(field.dataType).alias(field.name) for field in schemas[table]]
@@ -45,7 +45,7 @@ def write_tables(
     ``watch`` may add to what is written, such as ``observe`` metrics (see ``operators.quarantine.watched``).
     """
     for table in TABLES:
-        frame = _declared(model, table, schemas)
+        frame = declared(model, table, schemas)
         if table == "orders":
             frame = frame.sortWithinPartitions("status", "order_date")
             frame = frame if watch is None else watch(table, frame)
@@ -88,7 +88,7 @@ def save_bucketed(
         return writer.bucketBy(buckets, "order_id").sortBy("order_id")
 
     for table in TABLES:
-        frame = _declared(model, table, schemas)
+        frame = declared(model, table, schemas)
         if table == "order_items":
             frame = frame.repartitionByRange("order_id", "order_item_id")
         save(in_buckets(frame) if table == "orders" else frame.write, table)
