@@ -1,0 +1,97 @@
+"""Half of all lines on one order and one product: dealt out, also where partitions are small."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from test_listing import operators
+from tillscope.functions.measures import Sales
+from tillscope.functions.skew import dealt_join, hot_keys
+from tillscope.operators.joins import a1_order_details
+from tillscope.operators.products import (
+    d1_top_products_by_region,
+    f1_product_margin,
+    f3_underperforming_categories,
+)
+from tillscope.operators.subqueries import b2_category_revenue_share
+from tillscope.plans.frames import sold_lines
+from tillscope.sources.generate import gen_model
+
+SETTINGS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.shuffle.partitions": "16",
+}
+
+
+@pytest.fixture(scope="module")
+def half(spark):
+    """As many lines again as there are, all of order 4 and of product 1."""
+    base = gen_model(spark, customers=2000, orders=12_000)
+    n = base.order_items.count()
+    more = spark.range(1, n + 1).select(
+        (F.col("id") + 1_000_000).alias("order_item_id"),
+        F.lit(4).cast("bigint").alias("order_id"),
+        F.lit(1).cast("bigint").alias("product_id"),
+        (F.col("id") % 5 + 1).cast("int").alias("quantity"),
+        ((F.col("id") * 7919 % 9000 + 1000) / 100).cast("decimal(10,2)").alias("unit_price"),
+        F.lit("2.50").cast("decimal(5,2)").alias("discount_pct"),
+    )
+    model = base.with_tables(order_items=base.order_items.unionAll(more).repartition(8).cache())
+    model.order_items.count()
+    before = {key: spark.conf.get(key, None) for key in SETTINGS}
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    yield model
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def in_tasks(frame):
+    rows = frame.groupBy(F.spark_partition_id()).agg(F.count("product_id").alias("n")).collect()
+    return sorted(row.n for row in rows)
+
+
+def test_the_sketch_finds_the_hot_keys(half, spark):
+    assert half.dealing_hot_keys(0.1).hot == {"order_id": [4], "product_id": [1]}
+    keys = spark.range(300_000).select(F.when(F.col("id") % 50 == 0, 7).otherwise(F.col("id")).alias("k"))
+    assert hot_keys(keys, "k", 0.015) == [7] and hot_keys(keys, "k", 0.05) == []
+    assert hot_keys(keys.where("false"), "k", 0.05) == []
+
+
+def test_no_task_has_twice_the_rows_of_the_median(half):
+    dealt = half.dealing_hot_keys()
+    plain, tasks = (in_tasks(sold_lines(m, Sales.VALID, "order_date")) for m in (half, dealt))
+    assert sum(plain) == sum(tasks) and len(tasks) == 16
+    assert plain[-1] > 5 * plain[8]  # far below the size from which Spark splits by itself
+    assert tasks[-1] < 2 * tasks[8]
+    joined = dealt.join_lines(
+        dealt.lines, dealt.catalogue.select("product_id", "root_name"), "product_id"
+    )
+    by_product = in_tasks(joined.where("root_name IS NOT NULL"))
+    assert by_product[-1] < 2 * by_product[len(by_product) // 2]
+
+
+@pytest.mark.parametrize(
+    "report",
+    [
+        a1_order_details,
+        b2_category_revenue_share,
+        d1_top_products_by_region,
+        lambda m: f1_product_margin(m, valid_only=True),
+        f3_underperforming_categories,
+    ],
+)
+def test_reports_are_the_same(half, report):
+    expected, found = (sorted(map(str, report(m).collect())) for m in (half, half.dealing_hot_keys()))
+    assert found == expected and found
+
+
+def test_joins_keep_repeated_rows_and_nulls(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, "e")], "k int, v string")
+    other = spark.createDataFrame([(1, 10), (2, 20), (4, 40)], "k int, w int")
+    for how in ("inner", "left_semi"):
+        expected = sorted(map(tuple, rows.join(other, ["k"], how).collect()))
+        found = dealt_join(rows, other, ["k"], "k", [1, 4], how, 5)
+        assert sorted(map(tuple, found.collect())) == expected
+    assert operators(found._jdf.queryExecution().executedPlan())

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from copy import copy
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions.measures import Sales, counted, gross_micros, line_sums, net_micros
+from tillscope.functions.skew import dealt_join, hot_keys
 from tillscope.schema import TABLES
 
 Table = DataFrame | Callable[[], DataFrame]
@@ -48,6 +50,8 @@ class RetailModel:
             "order_totals": self._fold_lines if order_totals is None else order_totals,
         }
         self.totals_stored = order_totals is not None
+        #: Values of order_id and product_id that joins of lines deal out to many tasks.
+        self.hot: dict[str, list] = {}
 
     def table(self, name: str) -> DataFrame:
         table = self._tables[name]
@@ -62,6 +66,26 @@ class RetailModel:
             kept["order_totals"] = self._tables["order_totals"]
         return RetailModel(**{**kept, **tables})
 
+    def dealing_hot_keys(self, share: float = 0.01) -> "RetailModel":
+        """The same model; joins of its lines deal out the orders and products that are hot.
+
+        A key is hot from that share of all lines on. Two passes over a column of the lines
+        find them (see ``functions.skew``), when this is called.
+        """
+        model = copy(self)
+        columns = ("order_id", "product_id")
+        model.hot = {c: hot_keys(self.order_items.select(c), c, share) for c in columns}
+        return model
+
+    def join_lines(
+        self, lines: DataFrame, other: DataFrame, column: str, how: str = "inner"
+    ) -> DataFrame:
+        """Lines joined with their orders or products, one row for each value of ``column``."""
+        keys = list(self.line_keys) if column == "order_id" else [column]
+        keys = [key for key in keys if key in lines.columns and key in other.columns]
+        ways = 8 * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return dealt_join(lines, other, keys, column, self.hot.get(column, []), how, ways)
+
     @property
     def regions(self) -> DataFrame:
         return self.table("regions")

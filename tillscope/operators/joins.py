@@ -49,7 +49,7 @@ def order_lines(model: RetailModel, *order: Column | str) -> DataFrame:
         # A position in the sorted rows is asked for, or the sort would be dropped
         # as one whose order no join needs.
         placed = (
-            model.lines.join(orders, "order_id")
+            model.join_lines(model.lines, orders, "order_id")
             .orderBy(*order)
             .withColumn("_at", F.monotonically_increasing_id())
         )
@@ -59,7 +59,8 @@ def order_lines(model: RetailModel, *order: Column | str) -> DataFrame:
             .where("_at >= 0")
         )
     headers = orders.join(buyers, "customer_id")
-    detail = model.lines.join(headers, "order_id").join(goods, "product_id")
+    detail = model.join_lines(model.lines, headers, "order_id")
+    detail = model.join_lines(detail, goods, "product_id")
     return detail.orderBy(*order) if order else detail
 
 

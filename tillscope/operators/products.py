@@ -32,8 +32,11 @@ def d1_top_products_by_region(model: RetailModel, k: int = 3) -> DataFrame:
     )
     placed = model.kept_orders(Sales.VALID).join(homes, "customer_id")
     sales = (
-        model.lines.select("order_id", "product_id", "net_micros")
-        .join(placed.select("order_id", "region_id"), "order_id")
+        model.join_lines(
+            model.lines.select("order_id", "product_id", "net_micros"),
+            placed.select("order_id", "region_id"),
+            "order_id",
+        )
         .groupBy("region_id", "product_id")
         .agg(*line_sums("net"))
         .select("region_id", "product_id", money(amount("net")).alias("net_revenue"))
@@ -110,8 +113,11 @@ def f3_underperforming_categories(model: RetailModel, overall_avg: bool = False)
     """
     # (order, root) rows first: the distinct orders of a root are then a plain count
     revenue = (
-        sold_lines(model, Sales.VALID)
-        .join(model.catalogue.select("product_id", "root_name"), "product_id")
+        model.join_lines(
+            sold_lines(model, Sales.VALID),
+            model.catalogue.select("product_id", "root_name"),
+            "product_id",
+        )
         .groupBy("order_id", "root_name")
         .agg(*line_sums("net"))
         .groupBy("root_name")

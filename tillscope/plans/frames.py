@@ -64,13 +64,14 @@ def sold_lines(
     """Lines of kept orders, with the named order columns added.
 
     Needed where the product matters, so nothing can be summed beforehand; an
-    oversized order is left to the adaptive skew-join split.
+    oversized order is dealt out by a model that knows its hot keys, and left to
+    the adaptive skew-join split by others.
     """
     keys = model.line_keys
     lines = model.keyed_lines.select(*keys, "product_id", "quantity", "gross_micros", "net_micros")
     added = [c for c in order_columns if c not in keys]
     orders = model.kept_orders(sales, since).select(*keys, *added)
-    return lines.join(orders, list(keys), "inner" if added else "left_semi")
+    return model.join_lines(lines, orders, "order_id", "inner" if added else "left_semi")
 
 
 def month_sales(model: RetailModel, sales: Sales) -> DataFrame:
