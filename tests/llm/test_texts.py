@@ -1,6 +1,7 @@
 """Operators on single texts against the libraries and brute force."""
 
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -92,6 +93,51 @@ def test_languages(documents, none):
     assert {r.lang_pred for r in languages.predict(documents, languages.train(none)).collect()} == {"und"}
 
 
+SCRIPTS = {
+    "latin": (97, 26), "han": (0x4E00, 2500), "many": (0xC0, 150), "hangul": (0xAC00, 11000),
+}
+
+
+@pytest.mark.parametrize("often", [0, 16, 10**9])
+def test_profiles_bind_every_n_gram(monkeypatch, often):
+    """Against each n-gram bound singly, for every alphabet, several at once, and empty texts."""
+    monkeypatch.setattr(languages, "OFTEN", often)
+    monkeypatch.setattr(languages, "BOUND", 7)
+    monkeypatch.setattr(languages, "SINGLE", 11)
+    random = np.random.default_rng(3)
+    texts = ["", "a", "12", "Ab cd é", "aaaa bbbb aaaa"]
+    texts += ["".join(chr(start + i) for i in random.integers(0, n, 90)) for start, n in SCRIPTS.values()]
+    texts.append(" ".join(texts))
+    profiler = languages.Profiler(64, 3, 5)
+    symbols = [profiler.symbols(t) for t in texts]
+    for own, found in zip(symbols, profiler.bundled(symbols), strict=True):
+        expected = np.zeros(64)
+        for i in range(len(own) - 2):
+            a, b, c = (profiler.vector(int(x)).astype(int) for x in own[i : i + 3])
+            expected += np.roll(a, 2) * np.roll(b, 1) * c
+        assert (found == expected).all()
+
+
+def test_profiles_of_many_letters_stay_small():
+    """512 texts of 2,000 letters out of 150 held 3.8 GB in counts of all texts and n-grams."""
+    random = np.random.default_rng(4)
+    profiler = languages.Profiler(1024, 3, 5)
+    texts = list(random.integers(200, 350, (512, 2000)).astype(np.uint32))
+    tracemalloc.start()
+    profiler.bundled(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+
+
+def test_languages_of_clashing_columns(documents):
+    """Columns called like the result are replaced, others kept, as are repeated rows."""
+    named = documents.selectExpr("*", "'mine' AS lang_pred", "9 AS score", "'kept' AS block")
+    rows = languages.predict(named, languages.train(documents)).collect()
+    assert len(rows) == 9 and {r.block for r in rows} == {"kept"}
+    assert all(r.lang_pred != "mine" and r.score <= 1 for r in rows)
+
+
 def brute(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]

@@ -16,6 +16,10 @@ from .shared import others
 UNDETERMINED = "und"
 #: Characters whose n-grams are counted at once.
 BLOCK = 1 << 20
+#: An n-gram that occurs more often in a block is bound once for all its occurrences.
+OFTEN = 16
+#: N-grams bound at once: those that are bound once, and occurrences of the others.
+BOUND, SINGLE = 4096, 16384
 
 
 class Profiler:
@@ -36,7 +40,7 @@ class Profiler:
     def vector(self, letter: int) -> np.ndarray:
         if letter not in self.vectors:
             random = np.random.default_rng((self.seed, letter))
-            self.vectors[letter] = random.integers(0, 2, self.dimensions).astype(np.float32) * 2 - 1
+            self.vectors[letter] = random.integers(0, 2, self.dimensions).astype(np.int8) * 2 - 1
         return self.vectors[letter]
 
     def lowered(self, points: np.ndarray) -> np.ndarray:
@@ -59,45 +63,63 @@ class Profiler:
 
     def bound(self, grams: np.ndarray) -> np.ndarray:
         """The vectors of n-grams, a row each, from rows of n letters."""
-        out = np.ones((len(grams), self.dimensions), np.float32)
-        for i in range(self.n):
-            own, where = np.unique(grams[:, i], return_inverse=True)
-            table = np.array([np.roll(self.vector(x), self.n - 1 - i) for x in own.tolist()])
-            out *= table[where]
+        own, where = np.unique(grams, return_inverse=True)
+        where = where.reshape(grams.shape)
+        table = np.array([self.vector(x) for x in own.tolist()])
+        out = np.roll(table, self.n - 1, 1)[where[:, 0]]
+        for i in range(1, self.n):
+            out *= np.roll(table, self.n - 1 - i, 1)[where[:, i]]
         return out
 
     def bundled(self, texts: list[np.ndarray]) -> np.ndarray:
-        """The vectors of texts given as symbols; rows of zeros without an n-gram."""
+        """The vectors of texts given as symbols; rows of zeros without an n-gram.
+
+        Whatever the alphabet: an n-gram that occurs often in these texts is bound once and added by
+        its counts, the occurrences of others are bound and added singly. Both in pieces of bounded
+        size, so memory grows with the letters of a block and not with texts times n-grams.
+        """
         out = np.zeros((len(texts), self.dimensions))
-        lengths = np.array([max(0, len(t) - self.n + 1) for t in texts])
-        if not lengths.sum():
+        lengths = np.array([len(t) for t in texts])
+        if not (lengths >= self.n).any():
             return out
         letters, coded = np.unique(np.concatenate(texts), return_inverse=True)
-        base = len(letters)
-        if base**self.n > 1 << 22:  # many scripts at once: each text for itself
-            if len(texts) > 1:
-                return np.concatenate([self.bundled([t]) for t in texts])
-            windows = np.lib.stride_tricks.sliding_window_view(texts[0], self.n)
-            for i in range(0, len(windows), 4096):
-                out[0] += self.bound(windows[i : i + 4096]).sum(0, dtype=np.float64)
-            return out
-        ends = np.cumsum([len(t) for t in texts])
-        code = np.zeros(len(coded) - self.n + 1, np.int64)
-        for i in range(self.n):
-            code = code * base + coded[i : len(coded) - self.n + 1 + i]
-        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[: len(code)]
-        inside = np.arange(len(code)) + self.n <= ends[owner]  # not across two texts
-        code, owner = code[inside], owner[inside]
-        present = np.bincount(code, minlength=1)
-        grams = np.flatnonzero(present)
-        place = np.zeros(len(present), np.int64)
-        place[grams] = np.arange(len(grams))
-        cells = owner * len(grams) + place[code]
-        counts = np.bincount(cells, minlength=len(texts) * len(grams)).reshape(len(texts), -1)
-        digits = np.array([grams // base ** (self.n - 1 - i) % base for i in range(self.n)]).T
-        for i in range(0, len(grams), 4096):
-            vectors = self.bound(letters[digits[i : i + 4096]])
-            out += counts[:, i : i + 4096].astype(np.float32) @ vectors
+        ends = np.cumsum(lengths)
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        at = np.arange(len(coded))
+        at = at[at + self.n <= ends[owner]]  # not across two texts
+        owner = owner[at]
+        single = np.ones(len(at), bool)
+        if len(letters) ** self.n < 1 << 62:
+            code = np.zeros(len(at), np.int64)
+            for i in range(self.n):
+                code = code * len(letters) + coded[at + i]
+            _, first, gram, total = np.unique(
+                code, return_index=True, return_inverse=True, return_counts=True
+            )
+            often = np.flatnonzero(total > OFTEN)
+            place = np.full(len(total), -1)
+            place[often] = np.arange(len(often))
+            place = place[gram]
+            single = place < 0
+            order = np.argsort(place, kind="stable")[single.sum() :]
+            starts = np.searchsorted(place[order], np.arange(0, len(often) + BOUND, BOUND))
+            for i in range(0, len(often), BOUND):
+                own = order[starts[i // BOUND] : starts[i // BOUND + 1]]
+                size = min(BOUND, len(often) - i)
+                cells = owner[own] * size + place[own] - i
+                counts = np.bincount(cells, minlength=len(texts) * size).reshape(-1, size)
+                where = at[first[often[i : i + size]]]
+                vectors = self.bound(letters[coded[where[:, None] + np.arange(self.n)]])
+                out += counts.astype(np.float32) @ vectors.astype(np.float32)
+        at, owner = at[single], owner[single]
+        for i in range(0, len(at), SINGLE):
+            where, own = at[i : i + SINGLE], owner[i : i + SINGLE]
+            vectors = self.bound(letters[coded[where[:, None] + np.arange(self.n)]])
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            run = np.arange(len(own)) - np.repeat(first, np.diff(first, append=len(own)))
+            starts = np.flatnonzero(run % 127 == 0)  # sums of so many stay within a byte
+            for start, end in zip(starts, [*starts[1:], len(own)], strict=True):
+                out[own[start]] += vectors[start:end].sum(0, dtype=np.int8)
         return out
 
     def blocks(self, texts: Iterator[str]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -156,10 +178,11 @@ def train(
         .mapInArrow(sums, "label string, dimension int, value bigint")
         .groupBy("label", "dimension")
         .agg(F.sum("value").alias("value"))
+        .groupBy("label")
+        .agg(F.array_sort(F.collect_list(F.struct("dimension", "value"))).alias("sums"))
+        .select("label", F.transform("sums", lambda x: x["value"]).alias("sums"))
     )
-    prototypes: dict[str, np.ndarray] = {}
-    for row in summed.collect():  # labels x dimensions
-        prototypes.setdefault(row["label"], np.zeros(dimensions))[row["dimension"]] = row["value"]
+    prototypes = {row["label"]: np.array(row["sums"], float) for row in summed.collect()}
     found = {k: v / np.linalg.norm(v) for k, v in sorted(prototypes.items()) if v.any()}
     return {"prototypes": found, "dimensions": dimensions, "n": n, "seed": seed}
 
