@@ -438,6 +438,9 @@ def sql() -> dict[str, str]:
     queries = {
         "a1_order_details": _DETAIL,
         "a2_customers_without_orders": _DORMANT.format(buyers="SELECT customer_id FROM header"),
+        "a2_customers_without_orders_thinned": _DORMANT.format(
+            buyers="SELECT customer_id FROM header WHERE customer_id % 7 <> 0"
+        ),
         "a2_dormant_customers": _DORMANT.format(
             buyers=f"SELECT customer_id FROM good_header WHERE order_date >= {SINCE}"
         ),
