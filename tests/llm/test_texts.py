@@ -211,8 +211,82 @@ def test_small_groups_are_judged_by_all_rows(spark):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
     rejected = quality.judge(frame, carried=["doc_id"]).where("not kept").collect()
     assert {r.doc_id for r in rejected} == {5, 305}
-    few = quality.judge(frame.where("doc_id >= 150"), carried=["doc_id"])
-    assert few.where("not kept").count() == 0  # the whole table is too small
+    for least in (150, 300):  # the same row is judged alike in a smaller table
+        few = quality.judge(frame.where(f"doc_id >= {least}"), carried=["doc_id"])
+        assert [r.doc_id for r in few.where("not kept").collect()] == [305]
+
+
+def rounded(values):
+    """Rounded up to four digits, as quantiles count them."""
+    scale = 10.0 ** (np.floor(np.log10(np.maximum(values, 1000.0))) - 3)
+    return np.ceil(values / scale) * scale
+
+
+def quantile(values, share):
+    """The least value that `share` of all don't exceed."""
+    values = np.sort(rounded(values))
+    return values[int(np.ceil(share * len(values))) - 1]
+
+
+def plain_estimate(x, half, steps):
+    """The same estimate of one group without Spark: starts, steps, determinants."""
+    p = x.shape[1]
+    least = np.array(quality.LEAST_SPREAD) * quality.SCALE
+    correction = half / quality._chi_square(quality._chi_square_quantile(half, p), p + 2)
+
+    def moments(rows):
+        c = np.cov(rows.T, bias=True) * correction
+        np.fill_diagonal(c, np.maximum(c.diagonal(), least**2))
+        factor = np.zeros((p, p))
+        for i in range(p):
+            for j in range(i + 1):
+                rest = c[i, j] - factor[i, :j] @ factor[j, :j]
+                factor[i, j] = np.sqrt(max(rest, (least[i] / 10) ** 2)) if i == j else rest / factor[j, j]
+        return rows.mean(0), factor
+
+    def step(d2):
+        d2 = d2 * quality.SCALE
+        return moments(x[d2 <= quantile(d2, half)])
+
+    def distance(mean, factor):
+        return (np.linalg.solve(factor, (x - mean).T) ** 2).sum(0)
+
+    off = np.abs(x - [quantile(c, 0.5) for c in x.T])
+    z = off / np.maximum([1.4826 * quantile(c, 0.5) for c in off.T], least)
+    found = []
+    for start in ((z * z).sum(1), z.max(1), z.sum(1)):
+        now = step(start)
+        for _ in range(quality.SHORT):
+            now = step(distance(*now))
+        found.append(now)
+    best = min(found, key=lambda f: np.log(f[1].diagonal()).sum())
+    for _ in range(steps):
+        before, best = best, step(distance(*best))
+        if abs(np.log(best[1].diagonal()).sum() - np.log(before[1].diagonal()).sum()) <= 1e-9:
+            break
+    return distance(*best)
+
+
+def test_distances_are_those_of_a_plain_estimate(spark):
+    """Two groups with clusters of outliers, one of them nearly a third of its group."""
+    random = np.random.default_rng(8)
+    groups = {}
+    for name, size, bad in (("a", 900, 40), ("b", 600, 170)):
+        x = np.abs(random.normal(1500, [300, 120, 200, 400, 250], (size, 5)))
+        x[:bad] += [2500, 900, 0, 1200, 700]
+        groups[name] = x.round()
+    rows = [(n, n, False, i, *r) for n, x in groups.items() for i, r in enumerate(x.tolist())]
+    schema = "key string, wide string, base_failed boolean, i long, " + ", ".join(f"x{i} double" for i in range(5))
+    measured = spark.createDataFrame(rows, schema)
+    found = quality.estimates(measured, 0.75, 12, 200)
+    frame = quality._with_distance(measured.join(found, "key"), 5).select("key", "i", "d2").collect()
+    limit = quality._chi_square_quantile(1 - 1e-3, 5)
+    for name, x in groups.items():
+        d2 = np.array([r.d2 for r in sorted(frame, key=lambda r: r.i) if r.key == name])
+        wanted = plain_estimate(x, 0.75, 12)
+        assert np.allclose(d2, wanted, rtol=1e-6)
+        assert ((d2 > limit) == (wanted > limit)).all()
+    assert (plain_estimate(groups["a"], 0.75, 12)[:40] > limit).all()
 
 
 def test_url_rules(spark):

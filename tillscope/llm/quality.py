@@ -14,6 +14,8 @@ SYMBOLS = r"[#*$%&|<>]+"
 LOUD = r"[\p{Lu}!]+"
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Steps of each start before the best one goes on.
+SHORT = 2
 #: Units of a statistic in 1; the statistics are whole numbers, so that sums don't depend on order.
 SCALE = 1000.0
 #: For each statistic the least standard deviation that is taken for its spread: mean word length
@@ -278,12 +280,39 @@ def estimates(
         F.col(f"d_{x}") / F.greatest(1.4826 * F.col(f"q_d_{x}"), F.lit(LEAST_SPREAD[i] * SCALE))
         for i, x in enumerate(xs)
     ]
-    near = spread.select("group", *xs, sum((z * z for z in scaled), F.lit(0.0)).alias("d2"))
-    for _ in range(steps + 1):
+    # Several starts: the rows nearest to the medians by the sum of squares, the greatest, and the
+    # sum of the deviations. Each is a group of its own, called by a last digit, until one is chosen.
+    starts = [sum((z * z for z in scaled), F.lit(0.0)), F.greatest(*scaled), sum(scaled, F.lit(0.0))]
+    named = [F.struct(F.concat("group", F.lit(str(i))).alias("g"), d.alias("d2")) for i, d in enumerate(starts)]
+    near = spread.select(*xs, F.explode(F.array(*named)).alias("s"))
+    near = near.select(F.col("s.g").alias("group"), *xs, F.col("s.d2").alias("d2"))
+    spread_out = F.explode(F.array(*[F.concat("group", F.lit(str(i))) for i in range(len(starts))]))
+    by_start = rows.select(spread_out.alias("group"), *xs)
+
+    def step(near: DataFrame) -> DataFrame:
+        """Mean and covariance of the half of each group's rows that lie nearest, and its size."""
         near = near.withColumn("d2", F.col("d2") * SCALE)
         inner = _given(near, _quantiles(near, ["d2"], half)).where("d2 <= q_d2")
-        found = _moments(inner, p, correction)
-        near = _with_distance(_given(rows, found), p).select("group", *xs, "d2")
+        return settled(_moments(inner, p, correction))
+
+    def distances(rows: DataFrame, found: DataFrame) -> DataFrame:
+        return _with_distance(_given(rows, found), p).select("group", *xs, "d2")
+
+    size = sum((F.log(f"l{i}{i}") for i in range(p)), F.lit(0.0))  # half the logarithm of the determinant
+    found = step(near)
+    for _ in range(SHORT):
+        found = step(distances(by_start, found))
+    # Of each group the start of the least determinant, of equal ones the first.
+    start = F.col("group").substr(F.lit(1), F.length("group") - 1).alias("own")
+    best = found.select(start, F.struct(size.alias("size"), F.col("group").alias("g")).alias("best"))
+    best = best.groupBy("own").agg(F.min("best").alias("best")).select("own", F.col("best.g").alias("group"))
+    found = settled(found.join(best, "group").drop("group").withColumnRenamed("own", "group"))
+    for _ in range(steps):
+        before, found = found, step(distances(rows, found))
+        sizes = before.select("group", size.alias("before")).join(found.select("group", size.alias("size")), "group")
+        moved = F.abs(F.col("size") - F.col("before")) > 1e-9
+        if sizes.where(moved).isEmpty():  # the nearest half of every group stays the same
+            break
     return found.join(group_of, "group").select("key", *[c for c in found.columns if c != "group"])
 
 
@@ -295,7 +324,7 @@ def judge(
     least_words: int = 50,
     most_repeated: int = 50,
     half: float = 0.75,
-    steps: int = 4,
+    steps: int = 12,
     reject: float = 1e-3,
     least_group: int = 200,
 ) -> DataFrame:
@@ -303,8 +332,10 @@ def judge(
 
     base_failed: fewer than `least_words` words, or over `most_repeated` % of them in repeated
     windows of three. Of the other rows the transformed statistics (see LEAST_SPREAD) of each group
-    of language and source get a minimum-covariance-determinant estimate: from medians and median
-    deviations on, `steps` times the mean and covariance of the `half` of the rows that lie nearest.
+    of language and source get a minimum-covariance-determinant estimate: the mean and covariance
+    of the `half` of the rows that lie nearest, again and again, from several starts around the
+    medians; the one whose determinant is least after a few steps goes on until its half stays the
+    same (after `steps` steps at most).
     A row is rejected if its squared distance is one that a normal distribution exceeds with
     probability `reject`.
 
