@@ -16,8 +16,16 @@ LEAST_COSINE = 0.05
 
 
 def _carried(docs: DataFrame, *needed: str) -> DataFrame:
-    """The needed columns, and all of them as one column `_row`, which no operator replaces."""
-    return docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    """The needed columns, and the others as one column `_row`, which no operator replaces."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(*needed, F.struct(F.lit(0).alias("_"), *rest).alias("_row"))
+
+
+def _restored(docs: DataFrame, *needed: str) -> list:
+    """The columns of docs, in their order."""
+    return [
+        F.col(c) if c in needed else F.col("_row").getField(c).alias(c) for c in docs.columns
+    ]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +35,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     judged = languages.predict(_carried(docs, "text"), language_model(spark, sf_dir))
     known = (F.col("lang_pred") != languages.UNDETERMINED) & (F.col("score") >= LEAST_COSINE)
-    return judged.where(known).select("_row.*")
+    return judged.where(known).select(*_restored(docs, "text"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +44,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts fail the base rules; a null language or source is a group like others;
     repeated rows stay; an empty table gives an empty one.
     """
-    judged = quality.judge(_carried(docs, "text", "lang", "source"), carried=["_row"])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    judged = quality.judge(docs.select("text", "lang", "source", whole), carried=["_row"])
     return judged.where("kept").select("_row.*")
 
 
@@ -46,16 +55,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row stays, also with a null, empty or emptied text or without doc_id; an empty table
     gives an empty one. Other columns stay as they are, whatever they are called.
     """
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("_row")
-    left = templates.drop_recurring(docs.select("doc_id", "text", row))
-
-    def column(c: str):
-        if c == "n_chars":
-            return F.length("text").cast("bigint").alias(c)
-        return F.col(c) if c in ("doc_id", "text") else F.col("_row").getField(c).alias(c)
-
-    return left.select(*[column(c) for c in docs.columns])
+    left = templates.drop_recurring(_carried(docs, "doc_id", "text"))
+    left = left.select(*_restored(docs, "doc_id", "text"))
+    if "n_chars" not in docs.columns:
+        return left
+    return left.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
