@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from typing import Any
 
@@ -15,11 +16,14 @@ SPACES = " \t\n\x0b\f\r"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where that is unset, as in tests, a folder in the session's warehouse is used and set.
+    Where that is unset, as in tests, a local session uses a folder in its warehouse; on a cluster
+    the setting must be there.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
         context.setCheckpointDir(folder or f"{warehouse}/_checkpoints")
     return context.getCheckpointDir()
