@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings only; memory, cores and shuffle partitions stay with the
@@ -35,6 +37,8 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     context.setCheckpointDir(shared or f"{warehouse}/_checkpoints")
 
@@ -44,7 +48,8 @@ def durable(frame: DataFrame) -> DataFrame:
 
     Used where a later step needs the very same rows and row numbers twice, so
     that a lost executor re-reads them instead of computing other ones. The
-    folder is spark.checkpoint.dir, else one in the session's warehouse.
+    folder is spark.checkpoint.dir; where that is unset, one in the warehouse of a local
+    session, while a cluster has to name one.
     """
     _ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
