@@ -98,10 +98,12 @@ SCRIPTS = {
 }
 
 
+@pytest.mark.parametrize("codes", [0, 1 << 62])
 @pytest.mark.parametrize("often", [0, 16, 10**9])
-def test_profiles_bind_every_n_gram(monkeypatch, often):
+def test_profiles_bind_every_n_gram(monkeypatch, often, codes):
     """Against each n-gram bound singly, for every alphabet, several at once, and empty texts."""
     monkeypatch.setattr(languages, "OFTEN", often)
+    monkeypatch.setattr(languages, "FEW_CODES", min(codes, 1 << 22))
     monkeypatch.setattr(languages, "BOUND", 7)
     monkeypatch.setattr(languages, "SINGLE", 11)
     random = np.random.default_rng(3)

@@ -18,6 +18,8 @@ UNDETERMINED = "und"
 BLOCK = 1 << 20
 #: An n-gram that occurs more often in a block is bound once for all its occurrences.
 OFTEN = 16
+#: Up to so many possible n-grams of a block are numbered by a table of all of them.
+FEW_CODES = 1 << 22
 #: N-grams bound at once: those that are bound once, and occurrences of the others.
 BOUND, SINGLE = 4096, 16384
 
@@ -93,24 +95,27 @@ class Profiler:
             code = np.zeros(len(at), np.int64)
             for i in range(self.n):
                 code = code * len(letters) + coded[at + i]
-            _, first, gram, total = np.unique(
-                code, return_index=True, return_inverse=True, return_counts=True
-            )
+            if len(letters) ** self.n <= FEW_CODES:  # the same numbers without a sort
+                count = np.bincount(code)
+                codes = np.flatnonzero(count)
+                number = np.zeros(len(count), np.int64)
+                number[codes] = np.arange(len(codes))
+                gram, total = number[code], count[codes]
+            else:
+                codes, gram, total = np.unique(code, return_inverse=True, return_counts=True)
             often = np.flatnonzero(total > OFTEN)
             place = np.full(len(total), -1)
             place[often] = np.arange(len(often))
             place = place[gram]
             single = place < 0
-            order = np.argsort(place, kind="stable")[single.sum() :]
-            starts = np.searchsorted(place[order], np.arange(0, len(often) + BOUND, BOUND))
+            powers = len(letters) ** np.arange(self.n - 1, -1, -1)
             for i in range(0, len(often), BOUND):
-                own = order[starts[i // BOUND] : starts[i // BOUND + 1]]
+                own = np.flatnonzero((place >= i) & (place < i + BOUND))
                 size = min(BOUND, len(often) - i)
                 cells = owner[own] * size + place[own] - i
                 counts = np.bincount(cells, minlength=len(texts) * size).reshape(-1, size)
-                where = at[first[often[i : i + size]]]
-                vectors = self.bound(letters[coded[where[:, None] + np.arange(self.n)]])
-                out += counts.astype(np.float32) @ vectors.astype(np.float32)
+                digits = codes[often[i : i + size], None] // powers % len(letters)
+                out += counts.astype(np.float32) @ self.bound(letters[digits]).astype(np.float32)
         at, owner = at[single], owner[single]
         for i in range(0, len(at), SINGLE):
             where, own = at[i : i + SINGLE], owner[i : i + SINGLE]
