@@ -62,6 +62,31 @@ def test_word_ids_are_the_library_s():
     assert packing.WordEncoder(vocabulary).encode(ODD) == wanted
 
 
+def test_word_ids_are_the_library_s_in_texts_of_any_mixture():
+    vocabulary = open(WORDS).read()
+    library = Tokenizer.from_str(vocabulary)
+    signs = [chr(c) for c in range(0x180)] + list("'\u0301\u03a3\u2003日🎉 ") + [" ", "\n", "<|endoftext|>"]
+    marks = np.random.default_rng(5).integers(0, len(signs), (300, 40))
+    plain = [c for c in signs[0x20:0x100] if packing.WordEncoder.PLAIN.fullmatch(c)] + [" ", "\t", "\n"]
+    texts = ["".join(signs[m] for m in row) for row in marks]
+    texts += ["".join(plain[m % len(plain)] for m in row) for row in marks]
+    for own in ([], [""], ["", ""], texts, texts[300:], [" a\n", "", "\tA b "]):
+        found = packing.encoder(vocabulary).encode(own)
+        wanted = library.encode_batch(own, add_special_tokens=False)
+        assert found == [np.array(e.ids, "<u4").tobytes() for e in wanted]
+
+
+def test_tasks_of_a_worker_tokenise_a_word_once(monkeypatch):
+    vocabulary = open(WORDS).read()
+    merged = []
+    packing.encoder.cache_clear()
+    first = packing.encoder(vocabulary)
+    monkeypatch.setattr(first.piece_ids, "make", lambda p: merged.append(p) or first.merge(p))
+    ids = first.encode(["Quorvexand quorvexand, QUORVEXAND!", "quorvexand"])
+    assert packing.encoder(vocabulary).encode(["quorvexand", "Quorvexand"]) == [ids[1]] * 2
+    assert sorted(merged) == ["!", ",", "quorvexand"]
+
+
 def test_pieces_and_sequences(documents, none):
     cut = packing.pieces(documents, WORDS, 4096, 1)
     rows = packing.best_fit(cut, 4096).collect()

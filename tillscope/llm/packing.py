@@ -8,10 +8,13 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -22,28 +25,30 @@ from tokenizers.pre_tokenizers import ByteLevel
 from .shared import Memo, settled
 
 #: Characters of text tokenised at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 22
 
 
 class WordEncoder:
     """Ids of whole texts from a `tokenizers` file whose pieces never span white space.
 
-    Each word between ASCII white space is tokenised once and remembered. Words of plain Latin
-    letters and signs, which the file's normalisation can only lower-case, are split here and go to
-    the library's model piece by piece; other new words go through the whole library many at a
-    time, with a mark between them that is a token of its own.
+    Arrow splits the texts at ASCII white space, numbers the different words and puts their ids in
+    the words' places, so that each is looked at once a block of texts. Words of plain Latin letters
+    and signs, which the file's normalisation can only lower-case, are split here and go to the
+    library's model piece by piece; other new words go through the whole library many at a time,
+    with a mark between them that is a token of its own. Pieces and other words are remembered.
     """
 
     MARK = "\x00"
-    PLAIN = regex.compile("[!-~À-ÖØ-öø-ÿ]+")
+    LONGEST = 32  # characters of a word that is remembered for later blocks
+    PLAIN = regex.compile("[!-~À-ÖØ-öø-ÿ\\n]+")
     NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
-    def __init__(self, vocabulary: str, most: int = 700_000):
+    def __init__(self, vocabulary: str, most: int = 300_000):
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         (self.mark,) = self.ids([self.MARK])[0]
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.most = most
         config = json.loads(vocabulary)
         self.special = [t["content"] for t in config["added_tokens"]]
@@ -53,7 +58,7 @@ class WordEncoder:
         if steps == self.NORMALIZERS and split.get("invert") and "Regex" in split.get("pattern", {}):
             self.split = regex.compile(split["pattern"]["Regex"])
         self.bytes_as_text = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.piece_ids = Memo(self.merge, most=400_000)
+        self.piece_ids = Memo(self.merge, most=600_000)
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -63,41 +68,68 @@ class WordEncoder:
         ids = [t.id for t in self.tokenizer.model.tokenize(text)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def simple(self, word: str) -> bool:
+    def simple(self, text: str) -> bool:
+        """Whether this word, or every word of these lines, can be split here."""
         return (
             self.split is not None
-            and self.PLAIN.fullmatch(word) is not None
-            and not any(special in word for special in self.special)
+            and self.PLAIN.fullmatch(text) is not None
+            and not any(special in text for special in self.special)
         )
 
-    def learn(self, words: set[bytes]) -> None:
-        odd: list[bytes] = []
-        marked: list[bytes] = []
-        for w in words:
-            word = w.decode()
-            if self.simple(word):
-                low = word.lower()
-                found = [low] if low.isalpha() else self.split.findall(low)
-                self.known[w] = b"".join(map(self.piece_ids.__getitem__, found))
-            else:
-                (odd if self.MARK in word else marked).append(w)
+    def plain_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of words that are all simple."""
+        pieces, split = self.piece_ids, self.split
+        return [
+            pieces[low] if low.isalpha() else b"".join(map(pieces.__getitem__, split.findall(low)))
+            for low in "\n".join(words).lower().split("\n")
+        ]
+
+    def learn(self, words: list[str]) -> None:
+        odd = [w for w in words if self.MARK in w]
+        marked = [w for w in words if self.MARK not in w]
         for i in range(0, len(marked), 4096):
             part = marked[i : i + 4096]
-            ids = np.array(self.ids([f" {self.MARK} ".join(w.decode() for w in part)])[0], "<u4")
+            ids = np.array(self.ids([f" {self.MARK} ".join(part)])[0], "<u4")
             marks = (4 * np.flatnonzero(ids == self.mark)).tolist()
             raw, starts = ids.tobytes(), [0, *[m + 4 for m in marks]]
             ends = [*marks, len(raw)]
             self.known |= {w: raw[a:b] for w, a, b in zip(part, starts, ends, strict=True)}
-        for w, own in zip(odd, self.ids([w.decode() for w in odd]), strict=True):
+        for w, own in zip(odd, self.ids(odd), strict=True):
             self.known[w] = np.array(own, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        words = [t.encode().split() for t in texts]
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these different words."""
+        if self.simple("\n".join(words)):
+            return self.plain_ids(words)
+        plain = [w for w in words if self.simple(w)]
+        own = dict(zip(plain, self.plain_ids(plain), strict=True)) if plain else {}
         if len(self.known) > self.most:
             self.known.clear()
-        self.learn(set().union(*words).difference(self.known))
-        return [b"".join(map(self.known.__getitem__, own)) for own in words]
+        others = [w for w in words if w not in own]
+        new = [w for w in others if w not in self.known]
+        self.learn(new)
+        own |= {w: self.known[w] for w in others}
+        for w in new:
+            if len(w) > self.LONGEST:
+                del self.known[w]
+        return [own[w] for w in words]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        own = pa.array(self.word_ids(words.dictionary.to_pylist()), pa.large_binary())
+        ids = own.take(words.indices)
+        ends = pc.list_value_length(split).to_numpy().cumsum()
+        _, offsets, raw = ids.buffers()
+        ends = np.frombuffer(offsets, np.int64)[ends].tolist() if len(ids) else [0] * len(texts)
+        return [raw[a:b].to_pybytes() for a, b in pairwise([0, *ends])]
+
+
+@lru_cache(maxsize=1)
+def encoder(vocabulary: str) -> WordEncoder:
+    """One encoder a Python worker, so that its tasks share the pieces they have met."""
+    return WordEncoder(vocabulary)
 
 
 def pieces(
@@ -113,12 +145,12 @@ def pieces(
     last = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(sent.value)
+        words = encoder(sent.value)
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
 
             def add(first: int, block: list[str], rows=rows):
-                for i, ids in enumerate(encoder.encode(block), first):
+                for i, ids in enumerate(words.encode(block), first):
                     ids += last
                     for at in range(0, len(ids), 4 * size):
                         own = ids[at : at + 4 * size]
